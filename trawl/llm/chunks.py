@@ -8,6 +8,7 @@ with a text between them that always becomes one id, and the ids between two of
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,34 @@ ENDS = r".,!?;:%$&*#|()\-"
 SPACED = re.compile(f" ?[{LETTERS}]+(?=[{SPACES}{ENDS}]|$)| ?[{ENDS}]+(?=[{SPACES}]|$)| ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 BARE = re.compile(f"[{LETTERS}]+(?=[{SPACES}{ENDS}]|$)|[{ENDS}]+(?=[{SPACES}]|$)|[^{SPACES}]+")
 WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
-#: Entries of the memo of one worker; it is emptied when full.
+#: Entries of the memo of one worker, in two generations.
 MEMO = 600_000
 
 
+class Memo:
+    """What has been learnt about frequent keys, in two generations: a full young one becomes the old one."""
+
+    def __init__(self, learn: Callable[[list], Iterable], limit: int):
+        self.learn, self.limit = learn, limit // 2
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def known(self, wanted: set) -> dict:
+        """A table that holds all the keys wanted."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, missing = self.young, self.old, []
+        for key in wanted:
+            if key not in young:
+                found = old.get(key)
+                if found is None:
+                    missing.append(key)
+                else:
+                    young[key] = found
+        young.update(zip(missing, self.learn(missing), strict=True))
+        return young
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian bytes.
 
@@ -39,44 +64,29 @@ class ChunkEncoder:
         self.split = (SPACED if spaced else BARE).findall
         self.between = "\n" if spaced else "\n0\n"
         (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
+        self.memo = Memo(self._encode_chunks, memo)
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        memo = self.memo
-        words, others = [], []
-        for x in missing:
-            (words if WORD(x) else others).append(x)
+    def _encode_chunks(self, missing: list[str]) -> list[bytes]:
+        words, found = [x for x in missing if WORD(x)], {}
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            ids = np.array(self._batch([self.between.join(some)])[0], dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.between_id) * 4
             starts, ends, raw = [0, *(cuts + 4).tolist()], [*cuts.tolist(), ids.nbytes], ids.tobytes()
-            memo.update(zip(some, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
+            found.update(zip(some, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
+        others = [x for x in missing if x not in found]
         for at in range(0, len(others), 4096):
-            some = others[at : at + 4096]
-            memo.update(zip(some, [np.array(x, dtype="<u4").tobytes() for x in self._batch(some)], strict=True))
+            found.update(zip(others[at : at + 4096], self._batch(others[at : at + 4096]), strict=True))
+        return [found[x] for x in missing]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
-        split = [None if "<|" in t else self.split(t) for t in texts]
-        wanted = set()
-        for chunks in split:
-            if chunks:
-                wanted.update(chunks)
-        missing = [c for c in wanted if c not in memo]
-        if len(memo) + len(missing) > self.limit:
-            memo.clear()
-            missing = list(wanted)
-        self._learn(missing)
-        get = memo.__getitem__
-        for text, chunks in zip(texts, split, strict=True):
-            out.append(np.array(self._batch([text])[0], dtype="<u4").tobytes() if chunks is None else b"".join(map(get, chunks)))
-        return out
+        split = [[] if "<|" in t else self.split(t) for t in texts]
+        get = self.memo.known(set().union(*split)).__getitem__
+        return [self._batch([text])[0] if "<|" in text else b"".join(map(get, chunks)) for text, chunks in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=4)
