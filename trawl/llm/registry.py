@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .minhash import op1_near_dedup
 from .orc_tokens import op5_orc_tokens
+from .line_crf import op3_line_rules
 from .packing import op9_packing
 from .sharding import op10_sharding
 
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op3_line_rules": op3_line_rules,
         "op4_bpe": op4_bpe,
         "op5_orc_tokens": op5_orc_tokens,
         "op9_packing": op9_packing,
