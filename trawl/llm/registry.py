@@ -12,6 +12,7 @@ from .orc_tokens import op5_orc_tokens
 from .line_crf import op3_line_rules
 from .packing import op9_packing
 from .sharding import op10_sharding
+from .weak_quality import op2_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_quality": op2_quality,
         "op3_line_rules": op3_line_rules,
         "op4_bpe": op4_bpe,
         "op5_orc_tokens": op5_orc_tokens,
