@@ -10,6 +10,7 @@ from .bpe import op4_bpe
 from .minhash import op1_near_dedup
 from .ngram_lm import op8_ngram_lm
 from .orc_tokens import op5_orc_tokens
+from .cap_filters import op6_embedding_dedup
 from .line_crf import op3_line_rules
 from .packing import op9_packing
 from .sharding import op10_sharding
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op3_line_rules": op3_line_rules,
         "op4_bpe": op4_bpe,
         "op5_orc_tokens": op5_orc_tokens,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op8_ngram_lm": op8_ngram_lm,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
