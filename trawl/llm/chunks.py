@@ -23,7 +23,7 @@ SPACED = re.compile(f" ?[{LETTERS}]+(?=[{SPACES}{ENDS}]|$)| ?[{ENDS}]+(?=[{SPACE
 BARE = re.compile(f"[{LETTERS}]+(?=[{SPACES}{ENDS}]|$)|[{ENDS}]+(?=[{SPACES}]|$)|[^{SPACES}]+")
 WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
 #: Entries of the memo of one worker, in two generations.
-MEMO = 600_000
+MEMO = 800_000
 
 
 class Memo:

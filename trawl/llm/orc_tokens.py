@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import encoder, in_slices
@@ -27,12 +27,20 @@ SCHEMA = "doc_id long, file int, local_start long, n_tokens long, ids array<int>
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
-    "orc.row.index.stride": "1000",
+    "orc.row.index.stride": "5000",
     "orc.stripe.size": str(16 << 20),
-    "compression": "zstd",
+    "compression": "none",  # the run-length encoding has packed the ids already
 }
 
 
+def _range_of(key: Column, bounds: list[float], first: int = 0) -> Column:
+    """Number of bounds up to the key, as a balanced tree of comparisons; 0 for null."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(key >= F.lit(int(bounds[middle])), _range_of(key, bounds[middle + 1 :], first + middle + 1)).otherwise(_range_of(key, bounds[:middle], first))
+
+
 def write(docs: DataFrame, target: str, path: str, end_id: int = END_ID, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the ids to ``target`` in ascending id order."""
     spark = docs.sparkSession
@@ -45,7 +53,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int = END_ID, partiti
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for part in in_slices(texts):
+            for part in in_slices(texts, 2_000_000):
                 raw = [r + end for r in tokens.encode(texts[part])]
                 lengths = np.array([len(r) // 4 for r in raw], dtype=np.int64)
                 cuts = offsets_of(lengths)
@@ -55,7 +63,8 @@ def write(docs: DataFrame, target: str, path: str, end_id: int = END_ID, partiti
                 start += int(cuts[-1])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    bounds = sorted(set(rows.approxQuantile("doc_id", [i / partitions for i in range(1, partitions)], 0.1 / partitions))) if partitions > 1 else []  # reads ids alone
+    rows = rows.repartitionById(partitions, _range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**OPTIONS).orc(target)
 
 
