@@ -13,6 +13,8 @@ from .orc_tokens import op5_orc_tokens
 from .cap_filters import op6_embedding_dedup
 from .line_crf import op3_line_rules
 from .packing import op9_packing
+from .preferences import ORACLE as PREFERENCES_SQL
+from .preferences import op7_preferences
 from .sharding import op10_sharding
 from .weak_quality import op2_quality
 
@@ -27,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op4_bpe": op4_bpe,
         "op5_orc_tokens": op5_orc_tokens,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_preferences": op7_preferences,
         "op8_ngram_lm": op8_ngram_lm,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
@@ -34,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_preferences": PREFERENCES_SQL}
