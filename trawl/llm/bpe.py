@@ -31,8 +31,8 @@ from .common import read_table, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's memo of frequent text pieces, and states of its transducer.
-MEMO = 300_000
-STATES = 100_000
+MEMO = 800_000
+STATES = 150_000
 #: Remembered answers to whether a token may follow another.
 VALID = 500_000
 #: Plain words, which are one match of the pattern.
