@@ -1,13 +1,14 @@
 """Near-duplicate documents by MinHash bands, odd sketches and a check on the full shingle sets.
 
-Each document's distinct five-word shingles give 128 MinHash samples. The samples are hashed in 32 bands of 4, and folded into an
-odd sketch: each sample flips one of 1,024 bits, so that the exclusive or of two sketches counts the samples that differ, most
-precisely where few do. Documents with equal sets form a class, of which one goes on. Classes that share a band are candidates;
+Each document's distinct five-word shingles give 256 MinHash samples. Half of them are hashed in 32 bands of 4, and all are
+folded into an odd sketch: each sample flips one of 2,048 bits, so that the exclusive or of two sketches counts the samples that
+differ, most precisely where few do. Documents with equal sets form a class, of which one goes on. Classes that share a band are candidates;
 those whose sketches differ by more than similar sets' ever would are dropped, and the rest are compared on their full sets.
 
 What a bucket of a band needs is not all its pairs but its connected components. First every member is compared with the
-bucket's smallest member. Only where that leaves members of one bucket in different components are the pairs between those
-components compared too, in blocks of bounded size. A pair with similarity 0.75 misses all bands with probability 5e-6.
+bucket's smallest member. Only where that leaves members of one bucket in different components go on those whose sketches are
+close across components: chains of them make families, and a family's members are compared on their full sets in blocks of
+bounded size. What leaves a block is a spanning forest of the links, never all pairs. A pair with similarity 0.75 misses all bands with probability 5e-6.
 
 Defined results: a text without words is linked with nothing; rows with the same id are one document; a row without an id takes
 the component of its set and is kept if no row with an id has that set; an empty table gives an empty result; other columns are
@@ -30,8 +31,8 @@ from .shingles import mix, shingle_set
 
 SIMILARITY = 75  # percent
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-BITS = 1024
+SAMPLES = 2 * BANDS * ROWS
+BITS = 2048
 #: Members of a bucket compared with each other in one block.
 BLOCK = 256
 #: Ids that a broadcast may hold; more are joined by a shuffle.
@@ -52,7 +53,7 @@ def samples(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands(sampled: np.ndarray) -> np.ndarray:
-    folded = (sampled * PLACE).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+    folded = (sampled[: BANDS * ROWS] * PLACE[: BANDS * ROWS]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
     return mix(folded + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
@@ -61,12 +62,12 @@ def odd_sketch(sampled: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(flips, minlength=BITS) & 1).view(np.int64)
 
 
-def sketch_cutoff(similarity: float = SIMILARITY / 100, deviations: float = 6.0) -> int:
-    """Differing bits that sketches of sets of this similarity exceed with negligible probability."""
-    differ = SAMPLES * (1 - similarity)
-    differ = 2 * (differ + deviations * math.sqrt(differ * similarity))
-    expected = BITS / 2 * (1 - (1 - 2 / BITS) ** differ)
-    return math.ceil(expected + deviations * math.sqrt(differ * differ / BITS))
+def sketch_cutoff(similarity: float = SIMILARITY / 100, deviations: float = 4.5) -> int:
+    """Differing bits that the sketches of sets of this similarity exceed with a probability of about 3e-6."""
+    flips = 2 * SAMPLES * (1 - similarity)
+    left = math.exp(-2 * flips / BITS)  # flips that no other flip undoes
+    spread = math.hypot(2 * math.sqrt(SAMPLES * similarity * (1 - similarity)) * left, 2 * math.sqrt(flips * flips / (2 * BITS)))
+    return math.ceil(BITS / 2 * (1 - left) + deviations * spread)
 
 
 def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -114,34 +115,96 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+class _Forest:
+    """Union of things that are linked."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Link two things; false if they were linked already."""
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _close_pairs(table: pa.Table, cutoff: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places in a block: one, and those in other components with a close sketch."""
+    ids, parts = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+    blocks, first = table.column("block").to_numpy(), table.column("low")[0].as_py()
+    same = first == table.column("high")[0].as_py()
+    sketches = np.array(table.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64)
+    for i in np.flatnonzero(blocks == first):
+        others = np.flatnonzero((ids > ids[i]) if same else (blocks != first))
+        others = others[parts[others] != parts[i]]
+        close = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= cutoff]
+        if len(close):
+            yield int(i), close
+
+
+def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([min(e) for e in edges], pa.int64()), "v": pa.array([max(e) for e in edges], pa.int64())})
+
+
 def _across(cutoff: int):
-    """Pairs of one block of a bucket that lie in different components and have close sketches."""
-
-    def pairs(table: pa.Table) -> pa.Table:
-        ids, parts = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        blocks, first = table.column("block").to_numpy(), table.column("low")[0].as_py()
-        same = first == table.column("high")[0].as_py()
-        sketches = np.array(table.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64)
-        out_u, out_v = [], []
-        for i in np.flatnonzero(blocks == first):
-            others = np.flatnonzero((ids > ids[i]) if same else (blocks != first))
-            others = others[parts[others] != parts[i]]
-            close = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= cutoff]
-            out_u.append(np.minimum(ids[close], ids[i]))
-            out_v.append(np.maximum(ids[close], ids[i]))
-        empty = [np.empty(0, dtype=np.int64)]
-        return pa.table({"u": np.concatenate(out_u or empty), "v": np.concatenate(out_v or empty)})
-
-    return pairs
+    """A spanning forest of the close sketches across components in one block of a bucket."""
+
+    def forest(table: pa.Table) -> pa.Table:
+        ids, joined, edges = table.column("doc_id").to_pylist(), _Forest(), []
+        for i, close in _close_pairs(table, cutoff):
+            edges += [(ids[i], ids[j]) for j in close.tolist() if joined.join(ids[i], ids[j])]
+        return _edge_table(edges)
+
+    return forest
+
+
+def _within(cutoff: int):
+    """Links across components in one block of a family, by the full sets; one for each two components that meet."""
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, parts, texts = table.column("doc_id").to_pylist(), table.column("component").to_pylist(), table.column("text")
+        joined, edges, sets = _Forest(), [], {}
+
+        def full(place: int) -> np.ndarray:
+            if place not in sets:
+                sets[place] = shingle_set((texts[place].as_py() or "").encode())
+            return sets[place]
+
+        for i, close in _close_pairs(table, cutoff):
+            for j in close.tolist():
+                if joined.root(parts[i]) != joined.root(parts[j]) and similar(full(i), full(j)):
+                    joined.join(parts[i], parts[j])
+                    edges.append((ids[i], ids[j]))
+        return _edge_table(edges)
+
+    return links
+
+
+def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Rows of each key dealt into blocks, and every pair of blocks as a group (key, low, high); ``sizes`` has key and size."""
+    sizes = sizes.select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _texts_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Texts of the documents in ``ids(doc_id)``, by a broadcast of the ids where they are few enough."""
+    ids = scratch.table(ids.distinct(), f"{name}-ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return scratch.table(texts, f"{name}-texts")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the written ``pairs(u, v)`` whose texts are similar enough."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    wanted = scratch.table(wanted, f"{name}-ids")
-    small = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    texts = scratch.table(texts, f"{name}-texts")
+    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
+    texts = _texts_of(ids, docs, scratch, name)
     both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     both = both.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     found = both.select("u", "v", F.encode("text_u", "UTF-8").alias("text_u"), F.encode("text_v", "UTF-8").alias("text_v")).mapInArrow(_verified, "u long, v long")
@@ -160,7 +223,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
 
     buckets = members.select("doc_id", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.count("*").alias("size")).filter("size > 1")
-    star = buckets.join(hubs, "bucket").filter("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+    crowded = scratch.table(buckets.join(hubs, "bucket"), "crowded")  # most documents share no bucket
+    star = crowded.filter("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
     sketches = members.select("doc_id", "sketch")
     cutoff = sketch_cutoff()
     star = star.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sketch_v")), "v")
@@ -170,17 +234,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     edges = _confirm(star, docs, scratch, "near")
     found = scratch.table(components(edges, scratch, "first"), "component")
 
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.select("doc_id", "component", "sketch", F.explode("bands").alias("bucket"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a <> b and size > 2")
-    mixed = mixed.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "sketch")
-    across = rows.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long").distinct()
-    across = scratch.table(across.join(star, ["u", "v"], "left_anti"), "across")
+    placed = crowded.filter("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a <> b")
+    rows = _in_blocks(placed, "bucket", mixed).join(sketches, "doc_id")
+    across = rows.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long")
+    across = scratch.table(across, "across")
     if not across.isEmpty():
-        edges = edges.unionByName(_confirm(across, docs, scratch, "across"))
+        families = scratch.table(components(across, scratch, "family").select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+        texts = _texts_of(families.select("doc_id"), docs, scratch, "family")
+        placed = families.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        rows = _in_blocks(placed, "family", families.groupBy("family").agg(F.count("*").alias("size"))).join(sketches, "doc_id").join(texts, "doc_id")
+        within = scratch.table(rows.groupBy("family", "low", "high").applyInArrow(_within(cutoff), "u long, v long"), "within")
+        edges = edges.unionByName(within)
         found = scratch.table(components(edges, scratch, "second"), "component-2")
 
     result = prints.select("doc_id", "n_shingles", "key").join(classes, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
