@@ -32,7 +32,7 @@ from .common import Scratch, free_shuffles, offsets_of, read_table, texts_of, tu
 from .shingles import PLACE, lowered, mix, word_hashes
 
 #: Bytes of text in a block.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Pseudo-count of the lower-order model in each context.
 STRENGTH = 100.0
 FOLDS, HELD_OUT = 5, 1
@@ -71,14 +71,10 @@ class Block:
     """Some documents as sequences of word hashes, each with the end token."""
 
     def __init__(self, texts: list[bytes]):
-        split = [lowered(t) for t in texts]
-        self.lengths = np.array([len(w) + 1 for w in split], dtype=np.int64)
-        self.cuts = offsets_of(self.lengths)
-        flat = word_hashes([w for words in split for w in words])
-        self.tokens = np.full(int(self.cuts[-1]), END, dtype=np.uint64)
-        inside = np.ones(len(self.tokens), dtype=bool)
-        inside[self.cuts[1:] - 1] = False
-        self.tokens[inside] = flat
+        end = np.array([END])
+        self.tokens = np.concatenate([x for text in texts for x in (word_hashes(lowered(text)), end)])  # words of one text at a time
+        self.cuts = np.concatenate([[0], np.flatnonzero(self.tokens == END) + 1])
+        self.lengths = np.diff(self.cuts)
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.cuts[:-1]] = START

@@ -13,7 +13,7 @@ _rng = np.random.default_rng(20240501)
 PLACE = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LENGTH = 0x9E3779B97F4A7C15
 
-_words = Memo(lambda missing: [xxhash.xxh3_64_digest(w) for w in missing], 400_000)
+_words = Memo(lambda missing: [xxhash.xxh3_64_digest(w) for w in missing], 250_000)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
