@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def nearest_rank(values: Column, p: float) -> Column:
@@ -96,11 +98,8 @@ def compile_and_match(items: DataFrame) -> DataFrame:
 
     Patterns run in Python with a bound on the texts' length; catastrophic ones are stopped by the time limit of the task.
     """
-    import pandas as pd
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
-
-    @pandas_udf("struct<compiled:boolean,passed:boolean>", PandasUDFType.SCALAR)
-    def check(completion, good, bad):
+    @pandas_udf("struct<compiled:boolean,passed:boolean>")
+    def check(completion: pd.Series, good: pd.Series, bad: pd.Series) -> pd.DataFrame:
         import regex
 
         rows = []
@@ -120,11 +119,8 @@ def compile_and_match(items: DataFrame) -> DataFrame:
 
 def equivalence(items: DataFrame, a: str = "completion", b: str = "expression") -> DataFrame:
     """Adds ``equivalent``: do both patterns match the same strings; null where that can't be decided."""
-    import pandas as pd
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
-
-    @pandas_udf("boolean", PandasUDFType.SCALAR)
-    def same(left, right):
+    @pandas_udf("boolean")
+    def same(left: pd.Series, right: pd.Series) -> pd.Series:
         from ..functions.automata import equivalent
 
         return pd.Series([None if x is None or y is None else equivalent(x, y) for x, y in zip(left, right, strict=True)], dtype=object)

@@ -82,7 +82,8 @@ def gap(policy: Policy, distance: int) -> str:
 
 def make_pattern(seed: str, pool: dict[str, int], policy: Policy, number: int = 0) -> dict | None:
     """A pattern for the seed with its islands and exposure; None if nothing can be shown."""
-    found = re.findall(TOKEN, seed, re.ASCII)
+    spans = [(m.start(), m.end()) for m in re.finditer(TOKEN, seed, re.ASCII)]
+    found = [seed[a:b] for a, b in spans]
     words = [(i, t) for i, t in enumerate(found) if re.match(r"[A-Za-z0-9]", t)]
     total = sum(len(t) for _, t in words)
     budget = math.ceil(policy.expose * total)
@@ -113,9 +114,14 @@ def make_pattern(seed: str, pool: dict[str, int], policy: Policy, number: int =
     if not islands:
         return None
     islands.sort(key=lambda x: x["pos"])
-    pattern = ""
-    for a, x in enumerate(islands):
-        pattern += (gap(policy, x["pos"] - islands[a - 1]["pos"] - 1) if a else "") + r"\y" + x["text"] + r"\y"
+    kept, pattern = [], ""
+    for x in islands:  # an island that the gap after the last one can't reach is left out
+        between = gap(policy, x["pos"] - kept[-1]["pos"] - 1) if kept else ""
+        if kept and spans[x["pos"]][0] - spans[kept[-1]["pos"]][1] > int(between[between.rindex(",") + 1 : -2]):
+            continue
+        kept.append(x)
+        pattern += between + r"\y" + x["text"] + r"\y"
+    islands, shown = kept, sum(x["expose_len"] for x in kept)
     return {"regex": ("(?i)" if policy.ignore_case else "") + pattern, "n_islands": len(islands), "exposed_len": shown, "word_chars": total, "kept_positions": [x["pos"] for x in islands], "kinds": [x["kind"] for x in islands]}
 
 
