@@ -107,7 +107,7 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[tuple[int, list, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list[bytes]]]:
     """Neighbouring documents in blocks, numbered by task; the same scan gives the same blocks."""
     from pyspark import TaskContext
 
@@ -124,12 +124,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[tu
         yield number, ids, texts
 
 
-def _asking(buckets: int):
+def _asking(buckets: int, size: int):
     """Messages of each block: its keys of each kind and their training counts, split by the top bits of the keys."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
-        for number, ids, texts in _blocks(batches):
+        for number, ids, texts in _blocks(batches, size):
             block = Block(texts)
             training = np.repeat([not held_out(i) for i in ids], block.lengths)
             for kind in (WORDS, PAIRS):
@@ -164,11 +164,15 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
-def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bundling(size: int):
     """The blocks again, each as one compressed row."""
-    for number, ids, texts in _blocks(batches):
-        sizes = np.array([len(t) for t in texts], dtype="<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(texts))], pa.binary())], ["block", "ids", "texts"])
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, texts in _blocks(batches, size):
+            sizes = np.array([len(t) for t in texts], dtype="<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(texts))], pa.binary())], ["block", "ids", "texts"])
+
+    return bundle
 
 
 def build_automaton(words: np.ndarray, word_of: np.ndarray, pair_of: np.ndarray, pairs: np.ndarray, starts: np.ndarray, n: int, v: int, documents: int, strength: float) -> BackoffAutomaton:
@@ -229,12 +233,16 @@ def _scoring(n: int, v: int, documents: int, strength: float):
     return score
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, strength: float = STRENGTH, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of every document: the columns of the contract of ``op8``. ``buckets`` should grow with the input."""
+def score_documents(docs: DataFrame, scratch: Scratch, strength: float = STRENGTH, buckets: int | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of every document: the columns of the contract of ``op8``. ``buckets`` should grow with the input.
+
+    The documents are read twice and must come in the same order both times, as a scan of files does; digests of the keys tell if
+    they did not, and the job fails instead of mixing blocks up.
+    """
     spark = docs.sparkSession
     buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    asked = docs.mapInArrow(_asking(buckets), "block long, kind int, bucket int, payload binary")
+    asked = docs.mapInArrow(_asking(buckets, block), "block long, kind int, bucket int, payload binary")
     answers = asked.groupBy("kind", "bucket").applyInArrow(_answer, "block long, kind int, bucket int, payload binary, check long, tokens long, known long")
     answers = scratch.table(answers, "answers")
     free_shuffles(spark)
@@ -242,7 +250,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, strength: float = STRENGT
     n, v = (int(x or 0) for x in sums)
     ids = docs.select("doc_id").withColumn("crc", F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")))
     documents = ids.filter(f"crc % {FOLDS} <> {HELD_OUT}").count()
-    bundles = docs.mapInArrow(_bundles, "block long, ids array<long>, texts binary")
+    bundles = docs.mapInArrow(_bundling(block), "block long, ids array<long>, texts binary")
     answers = answers.filter("block >= 0").select("block", "kind", "bucket", "payload", "check")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return answers.groupBy("block").cogroup(bundles.groupBy("block")).applyInArrow(_scoring(n, v, documents, strength), schema)
