@@ -183,3 +183,21 @@ def test_streams(spark, tmp_path):
     running = stream_indexed(arriving, {"th": 0}).writeStream.format("memory").queryName("indexed_test").trigger(availableNow=True).start()
     running.awaitTermination()
     assert spark.table("indexed_test").filter("sig = 1").count() == 2
+
+
+def test_methods_side_by_side(docs):
+    from trawl.operators import methods
+
+    mapping = {"CA": 0, "he": 1}
+    tables = methods.Tables(docs, grams.postings(docs.filter("text is not null")), docs.withColumn("sig", signatures.signature(F.col("text"), mapping)), mapping)
+    queries = [("hello [a-z]+", "hello world"), (r"CA\-[0-9]+ re", "CA-274 reopened"), ("[0-9]{3}", None)]
+    for method in ("seqscan", "literal", "grams", "limited", "tokens", "signature"):
+        results = methods.run_workload(tables, method, queries, 2)
+        assert [r.ids for r in results] == [[1], [3], [3]] and all(r.ok and r.t_verify_ms >= 0 for r in results), method
+        row = methods.compare(tables, method, queries).first()
+        assert (row["macro"], row["micro"]) == (1.0, 1.0)
+    assert methods.run_method(tables, "prefix", "[a-z]+", "hello world").ids == [1]
+    bad = methods.run_method(tables, "seqscan", "(")
+    assert not bad.ok and "UNBALANCED" in bad.error
+    assert methods.as_rows([bad])[0]["n_matches"] == 0
+    assert "Filter" in methods.explain_stats(search.matches(docs, "hello [a-z]"))["nodes"]

@@ -96,4 +96,4 @@ def read_documents(path: str, spark: SparkSession, limit: int | None = None, off
 def estimated_rows(df: DataFrame) -> int:
     """The optimiser's number of rows if it knows one, else a count."""
     known = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return int(known.get().longValue()) if known.isDefined() else df.count()
+    return int(str(known.get())) if known.isDefined() else df.count()
