@@ -25,6 +25,16 @@ def pattern_counts(df: DataFrame, patterns: dict[str, str], text: str = "text")
     return counted.select(pairs.alias("p")).select("p.pid", "p.n")
 
 
+def scan_ids(df: DataFrame, patterns: dict[str, str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows (pid, doc_id) from one scan, each pattern behind its own prefilter."""
+    column, found = F.col(text), []
+    for pid, pattern in patterns.items():
+        before, test = prefilter(column, pattern), pg_rlike(column, pattern)
+        found.append(F.when(test if before is None else before & test, F.lit(pid)))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.explode(F.array_compact(F.array(*found))).alias("pid"))
+    return rows.select("pid", "doc_id")
+
+
 def pattern_ids(df: DataFrame, patterns: dict[str, str], rows: DataFrame, n: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows (pid, doc_id): postings give all patterns' candidates at once; patterns without grams are checked on every row."""
     plans = {pid: gram_plan(p, n) for pid, p in patterns.items()}

@@ -70,6 +70,18 @@ def postings(docs: DataFrame, keys: DataFrame | None = None, lengths: tuple[int,
     return out.select("gram", "doc_id")
 
 
+def leaf_postings(docs: DataFrame, wanted: list[str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows (gram, doc_id) for a few grams, without listing the others: one ``contains`` for each."""
+    keys = F.array(*[F.lit(g) for g in dict.fromkeys(wanted)]).cast("array<string>")
+    held = F.filter(keys, lambda g: F.contains(F.col(text), g))
+    return docs.select(F.explode(held).alias("gram"), F.col(id_col).alias("doc_id"))
+
+
+def pattern_postings(docs: DataFrame, patterns: list[str], n: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Posting rows of the grams that some patterns ask for."""
+    return leaf_postings(docs, [g for p in patterns for g in leaves(gram_plan(p, n))], text, id_col)
+
+
 def bitmap_postings(rows: DataFrame) -> DataFrame:
     """Bitmaps (gram, bucket, bitmap, df) of the posting rows."""
     bucket, bit = F.bitmap_bucket_number("doc_id"), F.bitmap_bit_position("doc_id")

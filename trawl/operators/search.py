@@ -121,10 +121,20 @@ def has_tokens(tokens: Column, wanted: list[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]).cast("array<string>"), tokens)) == 0
 
 
+def holds_tokens(column: Column, wanted: list[str]) -> Column:
+    """The same test on the text itself, without an array of its tokens."""
+    low, out = F.lower(column), F.lit(True)
+    for w in wanted:
+        out = out & F.contains(low, F.lit(w))
+    for w in wanted:
+        out = out & low.rlike(f"(?<![a-z0-9_-]){w}(?![a-z0-9_-])")
+    return out
+
+
 def token_search(df: DataFrame, pattern: str, text: str = "text", most: int = 3) -> DataFrame:
     """Rows that hold the pattern's whole tokens, then the pattern."""
     wanted = tokens_of_pattern(pattern, most)
-    return where(df, has_tokens(text_tokens(F.col(text)), wanted) if wanted else None, pg_rlike(F.col(text), pattern))
+    return where(df, holds_tokens(F.col(text), wanted) if wanted else None, pg_rlike(F.col(text), pattern))
 
 
 def explain_arms(df: DataFrame, pattern: str, text: str = "text") -> dict[str, str]:

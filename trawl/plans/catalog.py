@@ -207,7 +207,12 @@ def token_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'and', 'that'])")
 def token_contains(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).filter(search.has_tokens(search.text_tokens(F.col("text")), ["the", "and", "that"])).select("doc_id")
+    return docs(spark, d).filter(search.holds_tokens(F.col("text"), ["the", "and", "that"])).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['que', 'para', 'los'])")
+def token_array_contains(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).withColumn("t", search.text_tokens(F.col("text"))).filter(search.has_tokens(F.col("t"), ["que", "para", "los"])).select("doc_id")
 
 
 @query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, ' for the (?:an|th)')")
@@ -254,24 +259,24 @@ def presuf_shell(spark: SparkSession, d: str) -> DataFrame:
     return grams.presuf_shell(grams.useful_keys(table(spark, d, "pages"), 0.1, 4, "url", "page_id")).select("gram", "df")
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return grams.postings(docs(spark, d), lengths=(3,))
+def _postings(spark: SparkSession, d: str, *patterns: str) -> DataFrame:
+    return grams.pattern_postings(docs(spark, d), list(patterns))
 
 
 @query(f"SELECT gram, count(*) AS df FROM ({_gram_sql(3)}) WHERE gram IN ('the', 'ing', 'que', 'zzz', 'ein') GROUP BY gram")
 def postings_df(spark: SparkSession, d: str) -> DataFrame:
-    rows = _postings(spark, d).filter(F.col("gram").isin("the", "ing", "que", "zzz", "ein"))
+    rows = grams.postings(docs(spark, d), lengths=(3,)).filter(F.col("gram").isin("the", "ing", "que", "zzz", "ein"))
     return grams.bitmap_cardinality(grams.bitmap_postings(rows))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE contains(text, 'the') AND contains(text, 'ing') AND contains(text, 'hea')")
 def postings_and(spark: SparkSession, d: str) -> DataFrame:
-    return grams.bitmap_and(grams.bitmap_postings(_postings(spark, d)), ["the", "ing", "hea"])
+    return grams.bitmap_and(grams.bitmap_postings(grams.leaf_postings(docs(spark, d), ["the", "ing", "hea"])), ["the", "ing", "hea"])
 
 
 @query("SELECT count(*) AS n FROM documents WHERE contains(text, 'que') OR contains(text, 'ein')")
 def postings_or(spark: SparkSession, d: str) -> DataFrame:
-    return grams.bitmap_or(grams.bitmap_postings(_postings(spark, d)), ["que", "ein"])
+    return grams.bitmap_or(grams.bitmap_postings(grams.leaf_postings(docs(spark, d), ["que", "ein"])), ["que", "ein"])
 
 
 @query("SELECT p_partkey, grams FROM (SELECT doc_id AS p_partkey, array_to_string(list_sort(list(gram)), ',') AS grams FROM (" + _gram_sql(3, "part", "p_partkey", "p_name") + ") WHERE doc_id % 10 = 0 GROUP BY doc_id)")
@@ -282,12 +287,12 @@ def trigram_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {_re(WORDS)})")
 def index_query_ids(spark: SparkSession, d: str) -> DataFrame:
-    return grams.index_search(docs(spark, d), _postings(spark, d), WORDS)
+    return grams.index_search(docs(spark, d), _postings(spark, d, WORDS), WORDS)
 
 
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {_re(EITHER)})")
 def index_or_query_ids(spark: SparkSession, d: str) -> DataFrame:
-    return grams.index_search(docs(spark, d), _postings(spark, d), EITHER)
+    return grams.index_search(docs(spark, d), _postings(spark, d, EITHER), EITHER)
 
 
 _CANDIDATES = " AND ".join(f"contains(text, '{g}')" for g in ("thi", "hin", "ing", "ng ", " th", "the"))
@@ -296,12 +301,12 @@ _CANDIDATES = " AND ".join(f"contains(text, '{g}')" for g in ("thi", "hin", "ing
 @query(f"""SELECT n_rows, n_candidates, round(n_candidates / n_rows, 6) AS candidate_ratio, CASE WHEN n_candidates / n_rows > 0.5 THEN 'scan' ELSE 'index' END AS decision
     FROM (SELECT count(*) AS n_rows, count(*) FILTER (WHERE {_CANDIDATES}) AS n_candidates FROM documents)""")
 def candidate_ratio_gate(spark: SparkSession, d: str) -> DataFrame:
-    return grams.gate_decision(docs(spark, d), _postings(spark, d), LITERAL)
+    return grams.gate_decision(docs(spark, d), _postings(spark, d, LITERAL), LITERAL)
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS pid, doc_id FROM documents WHERE regexp_matches(text, {_re(p)})" for k, p in WORKLOAD.items()))
 def multi_pattern_index(spark: SparkSession, d: str) -> DataFrame:
-    return batch.pattern_ids(docs(spark, d), WORKLOAD, _postings(spark, d))
+    return batch.pattern_ids(docs(spark, d), WORKLOAD, _postings(spark, d, *WORKLOAD.values()))
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS pid, count(*) AS n FROM documents WHERE regexp_matches(text, {_re(p)})" for k, p in WORKLOAD.items()))
@@ -597,7 +602,7 @@ _GOLD = " UNION ALL ".join(f"SELECT '{k}' AS pid, doc_id FROM documents WHERE re
     SELECT count(*) AS n_queries, round(avg(round(n_hit / n_gold, 6)), 6) AS macro, round(sum(n_hit) / sum(n_gold), 6) AS micro FROM e""")
 def recall_macro_micro(spark: SparkSession, d: str) -> DataFrame:
     some = dict(list(WORKLOAD.items())[:3])
-    gold = batch.pattern_ids(docs(spark, d), some, _postings(spark, d))
+    gold = batch.scan_ids(docs(spark, d), some)
     limited = workload.cap_per_key(gold, "pid", 64, "doc_id")
     return metrics.recall_summary(metrics.recall(gold, limited, ["pid"], "doc_id"))
 
