@@ -1,13 +1,13 @@
 """Whole texts to ids with the public tokenizer files, piece by piece through a bounded memo.
 
 A text falls into chunks that the tokenizer's own splitting never crosses: a run of non-space characters with the one space
-before it, or a run of white space. Frequent chunks are looked up; the others go to the library, many words in one text
-with a text between them that always becomes one id, and the ids between two of those belong to one word.
+before it, or a run of white space. Frequent chunks are looked up, the others go to the library.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -50,34 +50,38 @@ class Memo:
         return young
 
 
+#: The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _SHOWN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian bytes.
 
-    ``spaced`` is false for tokenizers that drop white space. ``between`` is a text that becomes one id of its own wherever it
-    stands between two plain words. Texts that hold a special token's opening go to the library whole.
+    ``spaced`` is false for tokenizers that drop white space and fold case. Plain words, which no step before the model splits or
+    changes but for that, go to the library's model at once; other chunks, and texts that hold a special token's opening, go
+    through all of the library.
     """
 
     def __init__(self, path: str, spaced: bool, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.spaced = spaced
         self.split = (SPACED if spaced else BARE).findall
-        self.between = "\n" if spaced else "\n0\n"
-        (self.between_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.memo = Memo(self._encode_chunks, memo)
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, missing: list[str]) -> list[bytes]:
-        words, found = [x for x in missing if WORD(x)], {}
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.between_id) * 4
-            starts, ends, raw = [0, *(cuts + 4).tolist()], [*cuts.tolist(), ids.nbytes], ids.tobytes()
-            found.update(zip(some, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
-        others = [x for x in missing if x not in found]
+        tokenize, found, others = self.tokenizer.model.tokenize, {}, []
+        for x in missing:
+            if WORD(x):
+                word = (x if self.spaced else x.lower()).encode().decode("latin-1").translate(BYTE_LEVEL)
+                found[x] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            else:
+                others.append(x)
         for at in range(0, len(others), 4096):
             found.update(zip(others[at : at + 4096], self._batch(others[at : at + 4096]), strict=True))
         return [found[x] for x in missing]
