@@ -6,7 +6,7 @@ differ, most precisely where few do. Documents with equal sets form a class, of
 those whose sketches differ by more than similar sets' ever would are dropped, and the rest are compared on their full sets.
 
 What a bucket of a band needs is not all its pairs but its connected components. First every member is compared with the
-bucket's smallest member. Only where that leaves members of one bucket in different components go on those whose sketches are
+bucket's smallest member, unless their sizes rule it out. Only where that leaves members of one bucket in different components go on those whose sketches are
 close across components: chains of them make families, and a family's members are compared on their full sets in blocks of
 bounded size. What leaves a block is a spanning forest of the links, never all pairs. A pair with similarity 0.75 misses all bands with probability 5e-6.
 
@@ -135,14 +135,14 @@ class _Forest:
 
 
 def _close_pairs(table: pa.Table, cutoff: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places in a block: one, and those in other components with a close sketch."""
-    ids, parts = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+    """Places in a block: one, and those in other components with a similar size and a close sketch."""
+    ids, parts, sizes = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
     blocks, first = table.column("block").to_numpy(), table.column("low")[0].as_py()
     same = first == table.column("high")[0].as_py()
     sketches = np.array(table.column("sketch").to_pylist(), dtype=np.int64).view(np.uint64)
     for i in np.flatnonzero(blocks == first):
         others = np.flatnonzero((ids > ids[i]) if same else (blocks != first))
-        others = others[parts[others] != parts[i]]
+        others = others[(parts[others] != parts[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= SIMILARITY * np.maximum(sizes[others], sizes[i]))]
         close = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1) <= cutoff]
         if len(close):
             yield int(i), close
@@ -219,13 +219,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     prints = scratch.table(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "prints")
     classes = scratch.table(prints.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     members = prints.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = scratch.table(members.select("doc_id", "bands", "sketch"), "members")
+    members = scratch.table(members.select("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch"), "members")
 
-    buckets = members.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.count("*").alias("size")).filter("size > 1")
+    buckets = members.select("doc_id", "n", F.explode("bands").alias("bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.min_by("n", "doc_id").alias("n_u"), F.count("*").alias("size")).filter("size > 1")
     crowded = scratch.table(buckets.join(hubs, "bucket"), "crowded")  # most documents share no bucket
-    star = crowded.filter("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
-    sketches = members.select("doc_id", "sketch")
+    star = crowded.filter((F.col("doc_id") != F.col("u")) & (100 * F.least("n", "n_u") >= SIMILARITY * F.greatest("n", "n_u")))
+    star = star.select("u", F.col("doc_id").alias("v")).distinct()
+    sketches = members.select("doc_id", "n", "sketch")
     cutoff = sketch_cutoff()
     star = star.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sketch_v")), "v")
     star = star.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("sketch_u")), "u")
