@@ -45,9 +45,10 @@ def pattern_ids(df: DataFrame, patterns: dict[str, str], rows: DataFrame, n: int
         table = df.sparkSession.createDataFrame([(pid, java[pid]) for pid in pruned], "pid string, pattern string")
         found = candidates(rows, pruned).join(F.broadcast(table), "pid").join(docs, "doc_id")
         out = found.filter(F.expr("rlike(_text, pattern)")).select("pid", "doc_id")
-    for pid in plans.keys() - pruned.keys():
-        some = docs.filter(F.col("_text").rlike(java[pid])).select(F.lit(pid).alias("pid"), "doc_id")
-        out = some if out is None else out.unionByName(some)
+    rest = {pid: p for pid, p in patterns.items() if pid not in pruned}
+    if rest:
+        scanned = scan_ids(df, rest, text, id_col)
+        out = scanned if out is None else out.unionByName(scanned)
     return out
 
 
