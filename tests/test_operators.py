@@ -148,6 +148,10 @@ def test_sources_and_sinks(spark, docs, tmp_path):
     lines = tmp_path / "workload_A.jsonl"
     lines.write_text('{"regex": "a+", "seed_id": 1}\nnot json\n{"seed_id": 2}\n')
     assert ids(readers.read_jsonl(spark, str(lines)), "regex") == ["a+"]
+    assert readers.read_jsonl_errors(spark, str(lines)).cache().filter("_error is not null").count() == 1
+    pool = tmp_path / "pool.json"
+    pool.write_text('{"N": 9, "df3_mid_pairs": [["abc", 3], ["xyz", 5]]}')
+    assert {r["gram"]: r["df"] for r in readers.read_pool(spark, str(pool)).collect()} == {"abc": 3, "xyz": 5}
     array = tmp_path / "q.json"
     array.write_text('[{"regex": "a"}, {"regex": "b"}]')
     assert ids(readers.read_queries(spark, str(array)), "regex") == ["a", "b"]

@@ -175,6 +175,11 @@ def in_window(places: Column, s: Column, e: Column, size: int) -> Column:
     return F.exists(places, lambda p: (p >= s) & (p <= e - size + 1))
 
 
+def merged_places(places: Column) -> Column:
+    """The union of several sorted lists of places, sorted and without repeats."""
+    return F.array_sort(F.array_distinct(F.flatten(places)))
+
+
 def literal_places(df: DataFrame, literal: str, text: str = "text", overlap: bool = True) -> DataFrame:
     """Adds ``places``: the 1-based starts of a literal."""
 

@@ -88,6 +88,23 @@ def bitmap_postings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("gram", bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap"), F.count("*").alias("df"))
 
 
+def bitmap_ids(bitmaps: DataFrame) -> DataFrame:
+    """Rows (gram, doc_id) of bitmaps: bucket b holds the ids from (b - 1) * 32768 + 1 on, bucket 0 those up to 0 downwards."""
+
+    def unpack(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for gram, bucket, bitmap in zip(batch["gram"], batch["bucket"], batch["bitmap"], strict=True):
+                bits = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8), bitorder="little"))
+                out.append(pd.DataFrame({"gram": gram, "doc_id": (bucket - 1) * 32768 + 1 + bits if bucket > 0 else bucket * 32768 - bits}))
+            yield pd.concat(out) if out else pd.DataFrame({"gram": pd.Series(dtype=str), "doc_id": pd.Series(dtype="int64")})
+
+    return bitmaps.select("gram", "bucket", "bitmap").mapInPandas(unpack, "gram string, doc_id long")
+
+
 def bitmap_cardinality(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.groupBy("gram").agg(F.sum(F.bitmap_count("bitmap")).alias("df"))
 

@@ -32,6 +32,21 @@ def shape_stats(workload: DataFrame, pattern: str = "regex") -> DataFrame:
     return workload.agg(F.count("*").alias("n_rows"), F.count_distinct(F.col(pattern)).alias("n_raw"), F.count_distinct(shape).alias("n_norm")).withColumn("norm_ratio", F.round(F.col("n_norm") / F.col("n_rows"), 6))
 
 
+def group_estimates(workload: DataFrame, key: str, candidates: str, hits: str) -> DataFrame:
+    """Size of each group, the exact median of its candidate estimates and the sum of its hits."""
+    return workload.groupBy(key).agg(F.count("*").alias("group_size"), F.round(F.percentile(candidates, 0.5), 6).alias("cand_est_median"), F.round(F.sum(hits), 6).alias("hits_est_sum"))
+
+
+def size_quantiles(sizes: DataFrame, size: str, ps: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Nearest-rank quantiles of group sizes, the rank rounded: rows (p, size). Equal sizes are counted together."""
+    counted = sizes.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n"))  # few rows: distinct sizes
+    upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)))
+    total = counted.agg(F.sum("n").alias("total"))
+    ranks = sizes.sparkSession.createDataFrame([(p,) for p in ps], "p double").crossJoin(F.broadcast(total))
+    ranks = ranks.withColumn("rank", F.bround(F.col("p") * (F.col("total") - 1)) + 1)
+    return upto.join(F.broadcast(ranks), F.col("upto") >= F.col("rank")).groupBy("p").agg(F.min("size").alias("size"))
+
+
 def token_prefix(column: Column, k: int) -> Column:
     """The text up to the end of its k-th token; the whole text if it has fewer."""
     found = F.regexp_extract(column, rf"(?s)\A(?:.*?(?:{PREFIX_TOKEN})){{{k}}}", 0)

@@ -564,6 +564,30 @@ def prefix_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return grouping.prefix_evaluation(table(spark, d, "part").select(F.col("p_name").alias("predicted"), F.array(target).alias("targets")))
 
 
+@query("SELECT o_orderpriority, count(*) AS group_size, round(quantile_cont(o_totalprice, 0.5), 6) AS cand_est_median, round(sum(o_custkey::DOUBLE), 6) AS hits_est_sum FROM orders GROUP BY o_orderpriority")
+def group_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.group_estimates(table(spark, d, "orders").withColumn("hits", F.col("o_custkey").cast("double")), "o_orderpriority", "o_totalprice", "hits")
+
+
+@query("""WITH g AS (SELECT count(*) AS size FROM orders GROUP BY o_custkey), s AS (SELECT list_sort(list(size)) AS l FROM g)
+    SELECT p, l[round_even(p * (len(l) - 1), 0)::BIGINT + 1] AS size FROM s, (SELECT unnest([0.5::DOUBLE, 0.9, 0.99]) AS p)""")
+def size_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.size_quantiles(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "n")
+
+
+@query("SELECT 'ein' AS gram, doc_id FROM documents WHERE contains(text, 'ein') UNION ALL SELECT 'que', doc_id FROM documents WHERE contains(text, 'que')")
+def bitmap_ids(spark: SparkSession, d: str) -> DataFrame:
+    return grams.bitmap_ids(grams.bitmap_postings(grams.leaf_postings(docs(spark, d), ["ein", "que"])))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list(DISTINCT i)), ',') AS places FROM (SELECT doc_id, unnest(range(1, length(text) - 1)) AS i, text FROM documents WHERE lang = 'es')
+    WHERE substring(text, i::BIGINT, 3) IN ('que', 'ado') GROUP BY doc_id""")
+def merged_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = spans.literal_places(docs(spark, d).filter("lang = 'es'"), "que").withColumnRenamed("places", "a")
+    rows = spans.literal_places(rows, "ado").select("doc_id", spans.merged_places(F.array("a", "places")).alias("p")).filter(F.size("p") > 0)
+    return rows.select("doc_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("places"))
+
+
 # Measures. Events stand for runs: their value is the duration, an event is a completion of its user's item.
 
 

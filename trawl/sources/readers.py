@@ -67,6 +67,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = WORKLOAD, field: st
     return rows.filter(F.col(field).isNotNull()) if field else rows
 
 
+def read_jsonl_errors(spark: SparkSession, path: str, schema: str = WORKLOAD) -> DataFrame:
+    """All lines; those that can't be read have their text in ``_error``."""
+    return spark.read.schema(schema + ", _error string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_error").json(path)
+
+
+def read_pool(spark: SparkSession, path: str, n: int = 3) -> DataFrame:
+    """Rows (gram, df) of a JSON pool of mid-frequency grams with fields like ``df3_mid_pairs``."""
+    rows = spark.read.schema(f"N bigint, df_low bigint, df_high bigint, df{n}_mid_pairs array<array<string>>").option("multiLine", True).json(path)
+    pairs = rows.select(F.explode(f"df{n}_mid_pairs").alias("p"))
+    return pairs.select(F.col("p")[0].alias("gram"), F.col("p")[1].cast("long").alias("df"))
+
+
 def read_queries(spark: SparkSession, path: str, schema: str = WORKLOAD) -> DataFrame:
     """A JSON array or JSON Lines, told apart by the first character."""
     first = spark.read.text(path, wholetext=False).filter(F.trim("value") != "").first()
