@@ -250,7 +250,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, similarity: float = SI
     rows = rows.select("dimension", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "many", "vector", "filters")
     links = rows.groupBy("dimension", "family", "low", "high").applyInArrow(_linked(similarity, directions), "u long, v long, n long")
     links = scratch.table(links, "links")
-    scratch.drop("passing")
+    scratch.drop("passing", "reps")
 
     counts = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     found = components(links.filter("v is not null").select("u", "v"), scratch, "component").withColumnRenamed("node", "rep")

@@ -99,7 +99,7 @@ def gapless_rank(written: DataFrame, group: list[str], order: list[Column], out:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -> DataFrame:
-    """Connected components of ``edges(u, v)`` as ``(node, component)``, the component being its smallest node.
+    """Connected components of ``edges(u, v)`` as a written table ``(node, component)``, the component being its smallest node.
 
     Alternates large-star and small-star steps: each hangs a node's neighbours onto the smallest of them, with a minimum per
     node (combined before the shuffle) and a join that can be split where one node has most edges. Every step is written, and
@@ -114,7 +114,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
     for step in range(1, limit + 1):
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        larger = table.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each node's neighbours above it
+        large = larger.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
@@ -127,7 +128,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {limit} steps")
     roots = table.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return table.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    settled = scratch.table(table.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), name)
+    scratch.drop(last)
+    return settled
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ those whose sketches differ by more than similar sets' ever would are dropped, a
 What a bucket of a band needs is not all its pairs but its connected components. First every member is compared with the
 bucket's smallest member, unless their sizes rule it out. Only where that leaves members of one bucket in different components go on those whose sketches are
 close across components: chains of them make families, and a family's members are compared on their full sets in blocks of
-bounded size. What leaves a block is a spanning forest of the links, never all pairs. A pair with similarity 0.75 misses all bands with probability 5e-6.
+bounded size. What leaves a block are stars with the same components as the links, never all pairs. A pair with similarity 0.75 misses all bands with probability 5e-6.
 
 Defined results: a text without words is linked with nothing; rows with the same id are one document; a row without an id takes
 the component of its set and is kept if no row with an id has that set; an empty table gives an empty result; other columns are
@@ -103,18 +103,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough; the left texts come in runs."""
-    last, left = None, np.empty(0, dtype=np.uint64)
-    for batch in batches:
-        keep = []
-        for u, a, b in zip(batch.column("u").to_pylist(), batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), strict=True):
-            if u != last:
-                last, left = u, shingle_set(a)
-            keep.append(similar(left, shingle_set(b)))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
 class _Forest:
     """Union of things that are linked."""
 
@@ -133,6 +121,23 @@ class _Forest:
         self.parent[max(a, b)] = min(a, b)
         return a != b
 
+    def stars(self) -> list[tuple[int, int]]:
+        """Each thing that is linked to a smaller one, with the smallest that it is linked to."""
+        return [(root, x) for x in list(self.parent) if (root := self.root(x)) != x]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that link what the task's pairs with similar full sets link; the left texts come in runs."""
+    last, left, joined = None, np.empty(0, dtype=np.uint64), _Forest()
+    for batch in batches:
+        for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text_u", "text_v")), strict=True):
+            if joined.root(u) != joined.root(v):
+                if u != last:
+                    last, left = u, shingle_set(a)
+                if similar(left, shingle_set(b)):
+                    joined.join(u, v)
+    yield from _edge_table(joined.stars()).to_batches()
+
 
 def _close_pairs(table: pa.Table, cutoff: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places in a block: one, and those in other components with a similar size and a close sketch."""
@@ -149,27 +154,28 @@ def _close_pairs(table: pa.Table, cutoff: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"u": pa.array([min(e) for e in edges], pa.int64()), "v": pa.array([max(e) for e in edges], pa.int64())})
+    u, v = zip(*edges, strict=True) if edges else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _across(cutoff: int):
-    """A spanning forest of the close sketches across components in one block of a bucket."""
+    """Stars that link what close sketches across components link in one block of a bucket."""
 
     def forest(table: pa.Table) -> pa.Table:
-        ids, joined, edges = table.column("doc_id").to_pylist(), _Forest(), []
+        ids, joined = table.column("doc_id").to_pylist(), _Forest()
         for i, close in _close_pairs(table, cutoff):
-            edges += [(ids[i], ids[j]) for j in close.tolist() if joined.join(ids[i], ids[j])]
-        return _edge_table(edges)
+            for j in close.tolist():
+                joined.join(ids[i], ids[j])
+        return _edge_table(joined.stars())
 
     return forest
 
 
 def _within(cutoff: int):
-    """Links across components in one block of a family, by the full sets; one for each two components that meet."""
+    """Stars of the components that full sets link in one block of a family."""
 
     def links(table: pa.Table) -> pa.Table:
-        ids, parts, texts = table.column("doc_id").to_pylist(), table.column("component").to_pylist(), table.column("text")
-        joined, edges, sets = _Forest(), [], {}
+        parts, texts, joined, sets = table.column("component").to_pylist(), table.column("text"), _Forest(), {}
 
         def full(place: int) -> np.ndarray:
             if place not in sets:
@@ -180,8 +186,7 @@ def _within(cutoff: int):
             for j in close.tolist():
                 if joined.root(parts[i]) != joined.root(parts[j]) and similar(full(i), full(j)):
                     joined.join(parts[i], parts[j])
-                    edges.append((ids[i], ids[j]))
-        return _edge_table(edges)
+        return _edge_table(joined.stars())
 
     return links
 
@@ -202,7 +207,7 @@ def _texts_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> D
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the written ``pairs(u, v)`` whose texts are similar enough."""
+    """Enough of the written ``pairs(u, v)`` with similar texts to link all that such pairs link."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
     texts = _texts_of(ids, docs, scratch, name)
     both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
@@ -233,7 +238,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     differing = sum((F.bit_count(F.col("sketch_u")[i].bitwiseXOR(F.col("sketch_v")[i])) for i in range(BITS // 64)), F.lit(0))
     star = scratch.table(star.filter(differing <= cutoff).select("u", "v"), "star")
     edges = _confirm(star, docs, scratch, "near")
-    found = scratch.table(components(edges, scratch, "first"), "component")
+    found = components(edges, scratch, "component")
 
     placed = crowded.filter("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -242,13 +247,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     across = rows.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long")
     across = scratch.table(across, "across")
     if not across.isEmpty():
-        families = scratch.table(components(across, scratch, "family").select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+        families = components(across, scratch, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         texts = _texts_of(families.select("doc_id"), docs, scratch, "family")
         placed = families.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         rows = _in_blocks(placed, "family", families.groupBy("family").agg(F.count("*").alias("size"))).join(sketches, "doc_id").join(texts, "doc_id")
         within = scratch.table(rows.groupBy("family", "low", "high").applyInArrow(_within(cutoff), "u long, v long"), "within")
         edges = edges.unionByName(within)
-        found = scratch.table(components(edges, scratch, "second"), "component-2")
+        found = components(edges, scratch, "component-2")
+        scratch.drop("families", "family-ids", "family-texts", "within", "component")
+    scratch.drop("members", "crowded", "star", "near-found", "across")
 
     result = prints.select("doc_id", "n_shingles", "key").join(classes, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
