@@ -94,8 +94,8 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, spaced: bool) -> ChunkEncoder:
-    return ChunkEncoder(path, spaced)
+def encoder(path: str, spaced: bool, memo: int = MEMO) -> ChunkEncoder:
+    return ChunkEncoder(path, spaced, memo)
 
 
 def in_slices(texts: list[str], most: int = 4_000_000) -> list[slice]:

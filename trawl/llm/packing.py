@@ -30,6 +30,8 @@ from .common import Scratch, gapless_rank, read_table, tune
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Entries of a worker's memo of frequent words: fewer than the token files take, as workers also hold what stages before learnt.
+MEMO = 400_000
 
 
 class RoomTree:
@@ -129,7 +131,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32 and the writing task in ``part``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path, False)
+        tokens = encoder(path, False, MEMO)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
