@@ -115,6 +115,30 @@ def test_recall_of_filters(vectors):
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(left, right)]) > 0.995
 
 
+@pytest.mark.parametrize(("vectors", "dimension"), [(1 << 20, 64), (1 << 24, 64), (1 << 27, 64), (1 << 14, 3), (1 << 20, 4), (1 << 20, 8), (1 << 24, 16), (1 << 24, 384)])
+def test_recall_at_any_size_and_dimension(vectors, dimension):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(500, dimension))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    plan = cap_filters.plan(vectors, dimension=dimension)
+    left, right = cap_filters.all_filters(x, *plan), cap_filters.all_filters(0.9 * x + math.sqrt(1 - 0.81) * y, *plan)
+    shared = np.array([len(np.intersect1d(a, b)) for a, b in zip(left, right)])
+    assert np.mean(shared > 0) > 0.995
+    assert plan[3] == 1 or shared.mean() > 25
+
+
+def test_vectors_of_few_dimensions(spark, scratch):
+    rng = np.random.default_rng(4)
+    rows = {i: rng.normal(size=(1, 2, 3, 5)[i % 4]).tolist() for i in range(400)}
+    units = {k: cap_filters.unit(v) for k, v in rows.items()}
+    links = {k: sum(k != j and len(u) == len(w) and u @ w >= 0.9 for j, w in units.items()) for k, u in units.items()}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in cap_filters.near_duplicates(df, scratch).collect()} == links
+
+
 def test_listing_finds_all_filters():
     code = cap_filters.ProductCode(12, 1.5, 3, 7)
     x = np.random.default_rng(1).normal(size=(20, 12))

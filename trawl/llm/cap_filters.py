@@ -5,8 +5,10 @@ passes the vectors whose products with its directions add up to a threshold. A v
 parts' directions from the best on, leaving off as soon as the best of the remaining parts can't reach the threshold. Vectors
 that share a filter are compared in double precision. So that a pair counts once, only the smallest filter that both pass does so.
 
-Threshold and codebooks follow from the number of vectors by one formula: about ``CROWD`` unrelated vectors pass a filter, and a
-pair at the least similarity shares ``SHARED`` filters on average, whatever the size. They belong to several independent codes,
+Threshold and codebooks follow from the number of vectors and their dimension by the law of a random unit vector's product with a
+fixed direction: about ``CROWD`` unrelated vectors pass a filter, and a pair at the least similarity shares ``SHARED`` filters on
+average. Where caps that small would hold too few such pairs, as in low dimensions, a filter is wider, so that a vector passes
+``PASSES`` filters at most; and where that saves nothing, all vectors pass one filter. Filters belong to several independent codes,
 as a single one treats some directions worse than others. Equal vectors form a class of which one goes
 on with its multiplicity. A crowded filter is compared in blocks of bounded size, and what leaves a block are sums of links for
 each vector and a spanning forest of the links, never all pairs.
@@ -34,33 +36,60 @@ SIMILARITY = 0.9
 CROWD, SHARED = 64.0, 36.0
 #: Independent codes; a vector that few filters of one code pass has others.
 CODES = 12
+#: Filters that a vector passes at most, on average.
+PASSES = 256.0
+#: Neighbouring filters that share the rows of one family, at most.
+FAMILY = 128
 #: Vectors compared with each other in one block.
 BLOCK = 2048
 
 
-def _tail(x: float) -> float:
-    return 0.5 * math.erfc(x / math.sqrt(2))
-
-
-def _both(x: float, correlation: float) -> float:
-    """Probability that two normal variables of this correlation both exceed x."""
-    grid = np.linspace(x, x + 9, 4001)
-    density = np.exp(-grid * grid / 2) / math.sqrt(2 * math.pi)
-    above = np.array([_tail((x - correlation * g) / math.sqrt(1 - correlation**2)) for g in grid])
-    return float(np.trapezoid(density * above, grid))
-
-
 @lru_cache(maxsize=64)
-def plan(vectors: int, similarity: float = SIMILARITY) -> tuple[float, int, int]:
-    """Threshold in standard deviations, number of parts, directions of each part of one code."""
-    low, high = 0.5, 8.0
+def _angles(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the probability that a random direction is within each of a fixed one."""
+    angle = np.linspace(0, math.pi, 200_001)
+    density = np.sin(angle) ** (dimension - 2)
+    below = np.concatenate([[0.0], np.cumsum(density[1:] + density[:-1])])
+    return angle, below / below[-1]
+
+
+def _both(x: float, correlation: float, dimension: int) -> float:
+    """Probability that a random direction's products with two unit vectors of this product both exceed x."""
+    angle = np.linspace(0, math.acos(x), 4001)
+    density = np.sin(angle) ** (dimension - 2) * math.exp(math.lgamma(dimension / 2) - math.lgamma((dimension - 1) / 2)) / math.sqrt(math.pi)
+    rest = math.sqrt(1 - correlation**2) * np.sin(angle)  # what the plane's other axis can add
+    need = np.divide(x - correlation * np.cos(angle), rest, out=np.full(len(angle), -1.0), where=rest > 0)
+    above = np.interp(np.arccos(np.clip(need, -1, 1)), *_angles(dimension - 1))
+    return float(np.trapezoid(density * above, angle))
+
+
+@lru_cache(maxsize=1024)
+def plan(vectors: int, similarity: float = SIMILARITY, dimension: int = 64) -> tuple[float, int, int, int]:
+    """Threshold in standard deviations, number of parts, directions of each part of one code, number of codes."""
+    everything = (-math.inf, 1, 1, 1)
+    if dimension < 3:
+        return everything
+
+    def law(share: float) -> tuple[float, float]:
+        angle, below = _angles(dimension)
+        least = math.cos(np.interp(share, below, angle))
+        return least, _both(least, similarity, dimension)
+
     share = min(0.1, CROWD / max(1, vectors))
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if _tail(middle) > share else (low, middle)
-    filters = SHARED / CODES / _both(low, similarity)
-    parts = 2 if filters <= 1 << 20 else 3 if filters <= 1 << 30 else 4
-    return low, parts, math.ceil(filters ** (1 / parts))
+    least, both = law(share)
+    if SHARED * share > PASSES * both:
+        low, high = math.log(share), math.log(0.5)
+        for _ in range(40):
+            middle = (low + high) / 2
+            share = math.exp(middle)
+            low, high = (low, middle) if SHARED * share <= PASSES * law(share)[1] else (middle, high)
+        share = math.exp(high)
+        least, both = law(share)
+        if SHARED * share * share >= both:
+            return everything
+    filters = SHARED / CODES / both
+    parts = 2 if filters <= 1 << 26 else 3 if filters <= 1 << 36 else 4
+    return least * math.sqrt(dimension), parts, math.ceil(filters ** (1 / parts)), CODES
 
 
 class ProductCode:
@@ -97,13 +126,13 @@ class ProductCode:
 
 
 @lru_cache(maxsize=16)
-def codes(dimension: int, threshold: float, parts: int, directions: int) -> list[ProductCode]:
-    return [ProductCode(dimension, threshold, parts, directions, number) for number in range(CODES)]
+def codes(dimension: int, threshold: float, parts: int, directions: int, many: int) -> list[ProductCode]:
+    return [ProductCode(dimension, threshold, parts, directions, number) for number in range(many)]
 
 
-def all_filters(units: np.ndarray, threshold: float, parts: int, directions: int) -> list[np.ndarray]:
+def all_filters(units: np.ndarray, threshold: float, parts: int, directions: int, many: int = CODES) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of all filters of all codes that it passes."""
-    listed = [c.filters(units) for c in codes(units.shape[1], threshold, parts, directions)]
+    listed = [c.filters(units) for c in codes(units.shape[1], threshold, parts, directions, many)]
     return [np.concatenate(x) for x in zip(*listed, strict=True)]
 
 
@@ -138,8 +167,8 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data[1:], dtype=np.float32 if data[:1] == b"4" else np.float64).astype(np.float64)
 
 
-def _passing(threshold: float, parts: int, directions: int):
-    """Rows for the families of filters that a class passes: all that differ in the last part's direction alone.
+def _passing(plans: dict[int, tuple[float, int, int, int]], wide: bool):
+    """Rows for the families of neighbouring filters that a class passes.
 
     A row has the vector and the vector's filters up to that family, from the smallest on.
     """
@@ -151,27 +180,28 @@ def _passing(threshold: float, parts: int, directions: int):
                 rows = [i for i, v in enumerate(vectors) if len(v) == size]
                 for at in range(0, len(rows), 256):
                     some = rows[at : at + 256]
-                    found = all_filters(np.array([unit(vectors[i].tolist()) for i in some]), threshold, parts, directions)
+                    found = all_filters(np.array([unit(vectors[i].tolist()) for i in some]), *plans[size])
                     owner, family, packed, filters = [], [], [], []
                     for i, numbers in zip(some, found, strict=True):
-                        families, ends = np.unique(numbers // directions, return_index=True)
+                        families, ends = np.unique(numbers // min(plans[size][2], FAMILY), return_index=True)
                         ends = [*ends[1:].tolist(), len(numbers)]
                         owner += [i] * len(families)
                         family += families.tolist()
                         packed += [_packed(vectors[i])] * len(families)
                         filters += [numbers[:end] for end in ends]
                     taken = batch.take(pa.array(owner, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([taken.column("vec_id"), taken.column("many"), pa.array(packed, pa.binary()), pa.array([size] * len(owner), pa.int32()), pa.array(family, pa.int64()), pa.array(filters, pa.list_(pa.int32()))], ["vec_id", "many", "vector", "dimension", "family", "filters"])
+                    yield pa.RecordBatch.from_arrays([taken.column("vec_id"), taken.column("many"), pa.array(packed, pa.binary()), pa.array([size] * len(owner), pa.int32()), pa.array(family, pa.int64()), pa.array(filters, pa.list_(pa.int64() if wide else pa.int32()))], ["vec_id", "many", "vector", "dimension", "family", "filters"])
 
     return run
 
 
-def _linked(similarity: float, directions: int):
+def _linked(similarity: float, plans: dict[int, tuple[float, int, int, int]]):
     """Links of one block of a family: rows (vec_id, null, number of linked vectors) and forest edges (u, v, 0)."""
 
     def links(table: pa.Table) -> pa.Table:
         ids, many = table.column("vec_id").to_numpy(), table.column("many").to_numpy()
-        blocks, low, first = table.column("block").to_numpy(), table.column("low")[0].as_py(), table.column("family")[0].as_py() * directions
+        width = min(plans[table.column("dimension")[0].as_py()][2], FAMILY)
+        blocks, low, first = table.column("block").to_numpy(), table.column("low")[0].as_py(), table.column("family")[0].as_py() * width
         same = low == table.column("high")[0].as_py()
         left = blocks == low
         vectors = np.array([unit(_unpacked(r).tolist()) for r in table.column("vector").to_pylist()])
@@ -239,16 +269,18 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, similarity: float = SI
     classes = scratch.table(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
     reps = keyed.filter("raw is not null").join(classes.select(F.col("rep").alias("vec_id"), "many", F.col("key").alias("class")), "vec_id").filter("key = class")
     reps = scratch.table(reps.select("vec_id", "many", "raw").distinct(), "reps")
-    threshold, parts, directions = plan(1 << math.ceil(math.log2(max(2, reps.count()))), similarity)
+    sizes = reps.groupBy((F.octet_length("raw") / 8).cast("int").alias("dimension")).agg(F.count("*").alias("size")).collect()
+    plans = {r["dimension"]: plan(1 << math.ceil(math.log2(max(2, r["size"]))), similarity, r["dimension"]) for r in sizes}
+    wide = any(many * directions**parts >= 1 << 31 for _, parts, directions, many in plans.values())
 
-    passing = reps.mapInArrow(_passing(threshold, parts, directions), "vec_id long, many long, vector binary, dimension int, family long, filters array<int>")
+    passing = reps.mapInArrow(_passing(plans, wide), f"vec_id long, many long, vector binary, dimension int, family long, filters array<{'bigint' if wide else 'int'}>")
     passing = scratch.table(passing, "passing")
     crowds = passing.groupBy("dimension", "family").agg(F.count("*").alias("size")).filter("size > 1")
     crowds = crowds.select("dimension", "family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = passing.join(crowds, ["dimension", "family"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("dimension", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "many", "vector", "filters")
-    links = rows.groupBy("dimension", "family", "low", "high").applyInArrow(_linked(similarity, directions), "u long, v long, n long")
+    links = rows.groupBy("dimension", "family", "low", "high").applyInArrow(_linked(similarity, plans), "u long, v long, n long")
     links = scratch.table(links, "links")
     scratch.drop("passing", "reps")
 
