@@ -124,6 +124,18 @@ def test_generated_patterns(spark):
     assert checked.filter("not matches_seed").count() == 0
 
 
+def test_seeds_keep_patterns_as_tables_grow(spark, tmp_path):
+    from trawl.plans import catalog
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    found = []
+    for times in (1, 10, 60):
+        more = turns.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("conv_id", F.col("conv_id") + F.col("copy") * 1000).drop("copy")
+        more.write.parquet(f"{tmp_path}/{times}/conversations.parquet")
+        found.append(catalog.queries()["workload_generate"](spark, f"{tmp_path}/{times}").count() / more.count())
+    assert found[0] <= found[1] <= found[2], found
+
+
 def test_prefix_provider(spark):
     rows = spark.createDataFrame([(1, r"a\ b{2}", "Main St 1"), (2, r"a\ b{3}", "Main St 2"), (3, "zz", "Elm")], "seed_id long, regex string, seed string")
     grouped = grouping.groups(rows)

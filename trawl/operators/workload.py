@@ -125,14 +125,19 @@ def make_pattern(seed: str, pool: dict[str, int], policy: Policy, number: int =
     return {"regex": ("(?i)" if policy.ignore_case else "") + pattern, "n_islands": len(islands), "exposed_len": shown, "word_chars": total, "kept_positions": [x["pos"] for x in islands], "kinds": [x["kind"] for x in islands]}
 
 
-def gram_pool(docs: DataFrame, n: int, low: int, high: int, text: str = "text", id_col: str = "doc_id", most: int = 50_000) -> DataFrame:
-    """Grams of word characters whose document frequency lies between the bounds, the rarest ``most``."""
-    found = gram_df(docs, n, text, id_col).filter(F.col("df").between(low, high) & F.col("gram").rlike(r"\A[A-Za-z0-9]+\z"))
+def gram_pool(docs: DataFrame, n: int, low: int, share: float, text: str = "text", id_col: str = "doc_id", most: int = 62**3) -> DataFrame:
+    """Grams of word characters that at least ``low`` texts and at most this share of the texts hold, the rarest ``most``.
+
+    The upper bound grows with the table and the lower one doesn't, so that no gram leaves the pool as the same kind of text goes
+    on; ``most`` is the number of all grams of three word characters.
+    """
+    total = docs.count()
+    found = gram_df(docs, n, text, id_col).filter(F.col("df").between(low, max(low, share * total)) & F.col("gram").rlike(r"\A[A-Za-z0-9]+\z"))
     return found.orderBy("df", "gram").limit(most)
 
 
 def generate(seeds: DataFrame, pool: DataFrame, policy: Policy | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows (seed_id, seed_string, regex, exposure...) without repeated patterns of a seed; the pool has at most 50,000 grams."""
+    """Rows (seed_id, seed_string, regex, exposure...) without repeated patterns of a seed; the pool goes to every task."""
     policy = policy or Policy()
     known = seeds.sparkSession.sparkContext.broadcast({r["gram"]: r["df"] for r in pool.select("gram", "df").collect()})
 

@@ -473,7 +473,7 @@ def seed_self_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _generated(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    pool = workload.gram_pool(seeds, 3, 2, 200)
+    pool = workload.gram_pool(seeds, 3, 2, 0.375)
     return workload.generate(seeds, pool, workload.Policy())
 
 
