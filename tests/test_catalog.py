@@ -21,6 +21,14 @@ def test_against_sql(spark, connection, name):
     assert spark_rows(df) == expected
 
 
+def test_whole_tables(spark):
+    count = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet").count()
+    assert QUERIES["trigram_table_whole"](spark, SMALL).count() == count("part")
+    assert QUERIES["next_id_probe_whole"](spark, SMALL).count() == count("orders")
+    for name in ("trigram_table_whole", "next_id_probe_whole", "candidate_semi_join_whole"):
+        assert "%" not in SQL[name]
+
+
 def test_bernoulli_sample(spark):
     assert QUERIES["bernoulli_sample"](spark, SMALL).count() < 100
 

@@ -151,6 +151,12 @@ def candidate_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return search.search(docs(spark, d).join(chosen, "doc_id", "left_semi"), "the", "ids")
 
 
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {_re(LITERAL)})")
+def candidate_semi_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    held = grams.leaf_postings(docs(spark, d), ["thing "]).select("doc_id")
+    return search.search(docs(spark, d).join(held, "doc_id", "left_semi"), LITERAL, "ids")
+
+
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
 def ordered_offset(spark: SparkSession, d: str) -> DataFrame:
     return read_documents(f"{d}/documents.parquet", spark, 50, 100).select("doc_id")
@@ -285,6 +291,11 @@ def trigram_table(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("p_partkey", F.array_join(F.array_sort(grams.gram_array(F.col("p_name"), 3)), ",").alias("grams"))
 
 
+@query("SELECT doc_id AS p_partkey, array_to_string(list_sort(list(gram)), ',') AS grams FROM (" + _gram_sql(3, "part", "p_partkey", "p_name") + ") GROUP BY doc_id")
+def trigram_table_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(grams.gram_array(F.col("p_name"), 3)), ",").alias("grams"))
+
+
 @query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {_re(WORDS)})")
 def index_query_ids(spark: SparkSession, d: str) -> DataFrame:
     return grams.index_search(docs(spark, d), _postings(spark, d, WORDS), WORDS)
@@ -377,6 +388,12 @@ def next_id_probe(spark: SparkSession, d: str) -> DataFrame:
     return sampling.next_ids(ids, spark.range(0, 400000, 997).withColumnRenamed("id", "probe"), "o_orderkey")
 
 
+@query("SELECT o_orderkey + 1 AS probe, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS id FROM (SELECT DISTINCT o_orderkey FROM orders)")
+def next_id_probe_whole(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "orders")
+    return sampling.next_ids(ids, ids.select((F.col("o_orderkey") + 1).alias("probe")), "o_orderkey")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY (o_orderkey * 2654435761) % 4294967296, o_orderkey LIMIT 90")
 def reservoir_sample(spark: SparkSession, d: str) -> DataFrame:
     key = (F.col("o_orderkey") * F.lit(2654435761)) % F.lit(4294967296)
