@@ -29,6 +29,12 @@ def test_whole_tables(spark):
         assert "%" not in SQL[name]
 
 
+@pytest.mark.parametrize("name", ["token_table", "span_count_overlap", "struct_token_stats", "literal_positions"])
+def test_all_languages(spark, name):
+    assert QUERIES[name + "_whole"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert "lang" not in SQL[name + "_whole"]
+
+
 def test_bernoulli_sample(spark):
     assert QUERIES["bernoulli_sample"](spark, SMALL).count() < 100
 

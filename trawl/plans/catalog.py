@@ -211,6 +211,12 @@ def token_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("first"))
 
 
+@query(f"SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def token_table_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select("doc_id", search.text_tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'and', 'that'])")
 def token_contains(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter(search.holds_tokens(F.col("text"), ["the", "and", "that"])).select("doc_id")
@@ -436,6 +442,13 @@ def find_all_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.lateralJoin(spans.RegexFindAll(F.col("text").outer(), F.lit("ana"), F.lit(True))).select("doc_id", "s", "e")
 
 
+@query("SELECT doc_id, i::INTEGER AS s, (i + 2)::INTEGER AS e FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents) WHERE substring(text, i::BIGINT, 3) = 'ana'")
+def find_all_spans_whole(spark: SparkSession, d: str) -> DataFrame:
+    spans.register(spark)
+    found = docs(spark, d).filter("contains(text, 'ana')")
+    return found.lateralJoin(spans.RegexFindAll(F.col("text").outer(), F.lit("ana"), F.lit(True))).select("doc_id", "s", "e")
+
+
 @query("SELECT doc_id, strpos(text, 'hea')::INTEGER AS s, (strpos(text, 'hea') + 2)::INTEGER AS e FROM documents WHERE contains(text, 'hea')")
 def span_first(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", spans.first_span(F.col("text"), to_java("hea")).alias("x")).filter("x is not null").select("doc_id", "x.s", "x.e")
@@ -451,6 +464,11 @@ def span_count_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).filter("lang = 'en'").select("doc_id", spans.span_count(F.col("text"), "ana", True).alias("n"))
 
 
+@query("SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(range(1, length(text) - 1)) AS i) WHERE substring(text, i::BIGINT, 3) = 'ana')::INTEGER AS n FROM documents")
+def span_count_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", spans.span_count(F.col("text"), "ana", True).alias("n"))
+
+
 @query("SELECT doc_id, CASE WHEN substring(text, 1, 2) = 'Th' THEN 0 WHEN substring(text, 5, 2) = 'Th' THEN 1 WHEN length(text) >= 12 AND substring(text, 10, 2) = 'Th' THEN 2 ELSE -1 END AS w FROM documents")
 def verify_windows(spark: SparkSession, d: str) -> DataFrame:
     places = F.array(*[F.lit(x) for x in (1, 2, 5, 9, 10, 12)])
@@ -474,6 +492,11 @@ def literal_positions(spark: SparkSession, d: str) -> DataFrame:
     return spans.literal_places(docs(spark, d).filter("lang = 'fr'"), "tion").select("doc_id", F.size("places").alias("n"))
 
 
+@query("SELECT doc_id, len(list_filter(range(1, length(text) - 2), lambda i: substring(text, i::BIGINT, 4) = 'tion'))::INTEGER AS n FROM documents")
+def literal_positions_whole(spark: SparkSession, d: str) -> DataFrame:
+    return spans.literal_places(docs(spark, d), "tion").select("doc_id", F.size("places").alias("n"))
+
+
 @query(f"SELECT doc_id AS id FROM documents WHERE regexp_matches(text, {_re(WORDS)})")
 def window_search_ids(spark: SparkSession, d: str) -> DataFrame:
     return windows.window_search(docs(spark, d), WORDS).filter("matched").select("id")
@@ -522,6 +545,12 @@ def struct_token_stats(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "n_struct", "n_alpha", "struct_ratio", "bin", F.col("diversity").cast("double").alias("diversity"))
 
 
+@query(_SQL["struct_token_stats"].replace(" WHERE lang = 'en'", ""))
+def struct_token_stats_whole(spark: SparkSession, d: str) -> DataFrame:
+    found = workload.struct_stats(docs(spark, d))
+    return found.select("doc_id", "n_tokens", "n_struct", "n_alpha", "struct_ratio", "bin", F.col("diversity").cast("double").alias("diversity"))
+
+
 @query("SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9_]', '', 'g'))::INTEGER AS n FROM documents")
 def word_char_count(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", workload.word_chars(F.col("text")).alias("n"))
@@ -605,6 +634,13 @@ def merged_places(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("places"))
 
 
+@query(_SQL["merged_places"].replace(" WHERE lang = 'es'", ""))
+def merged_places_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = spans.literal_places(docs(spark, d), "que").withColumnRenamed("places", "a")
+    rows = spans.literal_places(rows, "ado").select("doc_id", spans.merged_places(F.array("a", "places")).alias("p")).filter(F.size("p") > 0)
+    return rows.select("doc_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("places"))
+
+
 # Measures. Events stand for runs: their value is the duration, an event is a completion of its user's item.
 
 
@@ -648,6 +684,16 @@ def recall_macro_micro(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recall_summary(metrics.recall(gold, limited, ["pid"], "doc_id"))
 
 
+_GOLD_WHOLE = " UNION ALL ".join(f"SELECT '{k}' AS pid, doc_id FROM documents WHERE regexp_matches(text, {_re(p)})" for k, p in WORKLOAD.items())
+
+
+@query(_SQL["recall_macro_micro"].replace(_GOLD, _GOLD_WHOLE))
+def recall_macro_micro_whole(spark: SparkSession, d: str) -> DataFrame:
+    gold = batch.scan_ids(docs(spark, d), WORKLOAD)
+    limited = workload.cap_per_key(gold, "pid", 64, "doc_id")
+    return metrics.recall_summary(metrics.recall(gold, limited, ["pid"], "doc_id"))
+
+
 @query("""SELECT conv_id, round(CASE WHEN len(gold) = 0 THEN 1 ELSE len(list_intersect(got, gold)) / len(gold) END, 6)::DOUBLE AS recall
     FROM (SELECT conv_id, list(DISTINCT turn) AS gold, list(DISTINCT turn) FILTER (WHERE role = 'user') AS got FROM conversations GROUP BY conv_id)""")
 def array_recall(spark: SparkSession, d: str) -> DataFrame:
