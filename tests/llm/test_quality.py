@@ -194,6 +194,15 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 4
 
 
+def test_field_sees_the_ends_of_long_documents(spark, monkeypatch):
+    text = "\n".join([f"line number {i} of a long text" for i in range(700)] + ["line number 5 of a long text"])
+    chain = [tuple(map(int, f)) for f in line_crf.chain_of(line_crf.lines_of(text.encode()))]
+    monkeypatch.setattr(line_crf, "fit", lambda chains: chains)
+    chains = line_crf.train(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sum(map(len, chains)) <= line_crf.LINES
+    assert chain[-1] in {c[-1] for c in chains} and chain[0] in {c[0] for c in chains}
+
+
 def test_pipeline_on_odd_tables(spark, odd, empty):
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, odd, SMALL).columns == odd.columns

@@ -28,6 +28,8 @@ from .shingles import PLACE, mix, word_hashes
 CONTENT, BOILERPLATE = 0, 1
 #: Documents to fit on, lines of each, and rounds of fitting.
 SAMPLE, LINES, ROUNDS = 1500, 200, 60
+#: Segments that stand for a document with more lines than that.
+SEGMENTS = 4
 #: Share of the characters of words that content lines must hold.
 CONTENT_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -86,6 +88,14 @@ def chain_of(lines: list[tuple[bytes, list[bytes], bool]]) -> list[tuple[int, ..
     return [features(line, words, seen, i in (0, last)) for i, (line, words, seen) in enumerate(lines)]
 
 
+def segments_of(chain: list[tuple[int, ...]]) -> list[list[tuple[int, ...]]]:
+    """The chain, or if it is longer than ``LINES`` segments spread evenly over it, from its first line to its last."""
+    if len(chain) <= LINES:
+        return [chain]
+    size = LINES // SEGMENTS
+    return [chain[at : at + size] for at in ((len(chain) - size) * k // (SEGMENTS - 1) for k in range(SEGMENTS))]
+
+
 class Field:
     """Weights of features for the two labels and of neighbouring labels."""
 
@@ -168,11 +178,11 @@ def fit(chains: list[list[tuple[int, ...]]], rounds: int = ROUNDS, rate: float =
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most ``sample`` documents and ``LINES`` lines of each; only their features reach the driver."""
+    """Fit on at most ``sample`` documents and ``LINES`` lines spread over each; only their features reach the driver."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [[v for f in chain_of(lines_of(t))[:LINES] for v in map(int, f)] for t in texts_of(batch.column("text"))]
+            flat = [[v for f in segment for v in map(int, f)] for t in texts_of(batch.column("text")) for segment in segments_of(chain_of(lines_of(t)))]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.list_(pa.int8()))], ["chain"])
 
     chosen = hashed_sample(docs, sample, id_col).select(F.col(text_col).alias("text"))
