@@ -52,23 +52,29 @@ def base_counts(text):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), repeated, len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
-def ngram_scores(texts, strength):
-    end, start = object(), object()
+def ngram_scores(texts, strengths):
+    """Interpolated n-grams by counting whole tuples; ``strengths`` are those of contexts of one word, two words and so on."""
+    end, start, order = object(), object(), len(strengths) + 1
     tokens = {k: WORD.findall(lowered(t)) + [end] for k, t in texts.items()}
     out_of = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
-    words, pairs, first = Counter(), Counter(), 0
+    grams, contexts = Counter(), Counter()
     for k, t in tokens.items():
-        if not out_of[k]:
-            words.update(t)
-            pairs.update(zip([start, *t[:-1]], t))
-            first += 1
-    n, v = sum(words.values()), len(words)
-    context = dict(words) | {start: first}
+        padded = [start] * (order - 1) + t
+        for at in range(order - 1, len(padded)) if not out_of[k] else ():
+            for length in range(order):
+                grams[tuple(padded[at - length : at + 1])] += 1
+                contexts[tuple(padded[at - length : at])] += 1
+    n, v = contexts[()], sum(len(g) == 1 for g in grams)
     out = {}
     for k, t in tokens.items():
-        base = [(words[x] + 0.5) / (n + 0.5 * (v + 1)) for x in t]
-        score = sum(math.log10((pairs[h, x] + strength * p) / (context.get(h, 0) + strength)) for h, x, p in zip([start, *t[:-1]], t, base))
-        out[k] = out_of[k], len(t), sum(words[x] > 0 for x in t), n, sum(map(math.log10, base)), score
+        padded, base, score = [start] * (order - 1) + t, 0.0, 0.0
+        for at in range(order - 1, len(padded)):
+            p = (grams[(padded[at],)] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            for length, strength in enumerate(strengths, 1):
+                p = (grams[tuple(padded[at - length : at + 1])] + strength * p) / (contexts[tuple(padded[at - length : at])] + strength)
+            score += math.log10(p)
+        out[k] = out_of[k], len(t), sum(grams[(x,)] > 0 for x in t), n, base, score
     return out
 
 

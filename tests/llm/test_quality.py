@@ -100,9 +100,10 @@ def test_expectations_equal_enumeration():
     assert np.allclose(labels, expected) and np.allclose(pairs, expected_pairs)
 
 
-def test_scores(docs, texts, scratch):
-    rows = ngram_lm.score_documents(docs, scratch, buckets=7).collect()
-    expected = ngram_scores(texts, ngram_lm.STRENGTH)
+@pytest.mark.parametrize("strengths", [ngram_lm.STRENGTHS, (7.0,), (50.0, 9.0, 2.0), ()])
+def test_scores(docs, texts, scratch, strengths):
+    rows = ngram_lm.score_documents(docs, scratch, strengths, bucket=100_000).collect()
+    expected = ngram_scores(texts, strengths)
     assert len(rows) == len(expected)
     for r in rows:
         held, n, known, train, base, score = expected[r["doc_id"]]
@@ -110,24 +111,54 @@ def test_scores(docs, texts, scratch):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
 
 
-def test_scores_on_odd_tables(odd, empty, texts, scratch):
-    assert ngram_lm.score_documents(odd, scratch, buckets=5).count() == len(texts) + 1
-    assert ngram_lm.score_documents(empty, scratch, buckets=5).count() == 0
+def test_scores_on_odd_tables(spark, odd, empty, texts, scratch):
+    assert ngram_lm.score_documents(odd, scratch, bucket=100_000).count() == len(texts) + 1
+    assert ngram_lm.score_documents(empty, scratch).count() == 0
+    twice = [(1, "a b c"), (1, "a b c"), (2, "a b"), (None, None)]
+    rows = ngram_lm.score_documents(spark.createDataFrame(twice, "doc_id int, text string"), scratch).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in rows) == [(0, 1), (1, 4), (1, 4), (2, 3)]
+    assert {r["train_tokens"] for r in rows} == {4 * (not ngram_lm.held_out(1)) * 2 + 3 * (not ngram_lm.held_out(2)) + (not ngram_lm.held_out(None))}
 
 
-def test_small_blocks_give_the_same_scores(docs, texts, scratch):
-    expected = ngram_scores(texts, ngram_lm.STRENGTH)
-    for r in ngram_lm.score_documents(docs, scratch, buckets=3, block=500).collect():
+def test_small_blocks_and_buckets_give_the_same_scores(docs, texts, scratch):
+    expected = ngram_scores(texts, ngram_lm.STRENGTHS)
+    for r in ngram_lm.score_documents(docs, scratch, block=500, bucket=5_000).collect():
         assert math.isclose(r["score"], expected[r["doc_id"]][5], rel_tol=1e-9)
 
 
 def test_probabilities_add_up():
-    """From any state, the weights of all words and of the unknown add up to 1."""
-    words, pairs = np.array([5, 3, 2, 0]), np.array([2, 1, 0])
-    word_of, pair_of = np.array([0, 1, 3]), np.array([0, 1, 2])
-    automaton = ngram_lm.build_automaton(words, word_of, pair_of, pairs, np.array([0]), 10, 3, 2, 7.0)
-    assert math.isclose(sum(10 ** automaton.root[w] for w in range(4)), 1.0)
-    assert automaton.after == [1, 2, 3, 0]
+    """From any state, the probabilities of all words and of the unknown add up to 1, through arcs and chains of failures."""
+    texts = [b"a b a c a b", b"b a b", b"c"]
+    strengths, seen = (7.0, 3.0), {}
+    for context in (b"", b"a", b"a b", b"b a", b"c c", b"zz a"):
+        total = 0.0
+        for word in (b"a", b"b", b"c", None, b"unknown"):
+            probe = context if word is None else context + b" " + word
+            block = ngram_lm.Block([*texts, probe], 3)
+            training = np.repeat([True, True, True, False], block.lengths)
+            keys = list(block.keys())
+            counts = [np.bincount(at[training], minlength=len(k)) for k, at in keys]
+            automaton = ngram_lm.build_automaton(counts, [at for _, at in keys], block.starts, int(training.sum()), 4, 3, strengths)
+            begin, words = int(block.starts[3]), len(probe.split())
+            last = begin + words - (word is not None)
+            total += 10 ** (automaton.walk(begin, last + 1) - (automaton.walk(begin, last) if last > begin else 0.0))
+        seen[context] = total
+    assert all(math.isclose(x, 1.0) for x in seen.values()), seen
+
+
+def test_failures_form_a_chain():
+    """An unseen third word fails from the pair to the last word, and an unseen second one on to the root."""
+    block = ngram_lm.Block([b"a b c", b"a b", b"x b c", b"a b d", b"a b a"], 3)
+    training = np.repeat([True, False, True, False, False], block.lengths)
+    keys = list(block.keys())
+    counts = [np.bincount(at[training], minlength=len(k)) for k, at in keys]
+    automaton = ngram_lm.build_automaton(counts, [at for _, at in keys], block.starts, 8, 5, 2, (7.0, 3.0))
+    assert [a[: block.lengths[0]].all() for a in automaton.arcs] == [True, True, True]
+    end_after_b = int(block.starts[1] + 2)
+    assert [bool(a[end_after_b]) for a in automaton.arcs] == [True, False, False]
+    expected = automaton.fails[2][end_after_b] + automaton.fails[1][end_after_b] + automaton.weights[0][end_after_b]
+    begin = int(block.starts[1])
+    assert math.isclose(automaton.walk(begin, end_after_b + 1) - automaton.walk(begin, end_after_b), expected)
 
 
 def test_held_out_texts_are_scored_better_than_by_words_alone(spark, scratch):

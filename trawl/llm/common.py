@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to a Python worker at once.
 BATCH_BYTES = 32 << 20
+#: Spark's own setting: remove an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +25,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the folder that all executors share, so that a lost executor costs no lineage.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a local one is made.
-    Tables can be dropped as soon as a later one replaces them; the rest goes when the driver ends.
+    The folder is ``spark.checkpoint.dir`` of the session; a session without it must be one local process, as in tests, and gets
+    a local folder. Shuffle files behind a table go as soon as it is written. Tables can be dropped as soon as a later one replaces them; the rest goes when the driver ends.
     """
 
     _own: str | None = None
@@ -33,6 +35,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             Scratch._own = Scratch._own or tempfile.mkdtemp(prefix="trawl-scratch-")
             base = f"file://{Scratch._own}"
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,7 +47,12 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again; the plan behind it ends here."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -1,15 +1,16 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model with Dirichlet smoothing: P(w | h) = (c(hw) + m P(w)) / (c(h) + m), P(w) being the smoothed share of
-w among all training tokens. As an automaton, every known word is a state with an arc for each word seen after it and a failure
-arc of weight m / (c(h) + m) to the root, which has an arc for every word. One pass over a text from left to right carries the
-state and adds up log-probabilities.
-
-The counts follow the corpus, so no task and no driver holds them all. Texts are read in blocks of some megabytes. Each block
-sends the sorted distinct hashes of its words and pairs, with their training counts, to buckets by hash; a bucket adds up what
-the blocks sent and answers each block with the totals of the keys it asked for. From the answers a block builds the part of the
-automaton that its own texts can reach, and walks through them. A word or pair that fills a third of the corpus is one entry per
-block. Messages are packed arrays, so that what is shuffled is a few bytes for each distinct key of a block.
+The model is an n-gram model with Dirichlet smoothing: P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), h' being the context without
+its oldest word, and P(w) the smoothed share of w among all training tokens. As an automaton, every context seen in training is a
+state with an arc for each word seen after it and a failure arc of weight m / (c(h) + m) to the state of h'; the root has an arc
+for every word. With the production order of three a chain of failures leads from a pair of words to the last word and on to the
+root. One pass over a text from left to right carries the state and adds up log-probabilities.
+
+The counts follow the corpus, so no task and no driver holds them all. Texts are written once in blocks of some megabytes. Each
+block sends the sorted distinct hashes of its n-grams of every length, with their training counts, to buckets by hash; a bucket adds
+up what the blocks sent and answers each block with the totals of the keys it asked for. From the answers a block builds the part of
+the automaton that its own texts can reach, and walks through them. There are as many buckets as the bytes of all texts ask for, so
+that none grows with the corpus. An n-gram that fills a third of the corpus is one entry per block. Messages are packed arrays.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the empty text when the held-out part is
 drawn; repeated rows count as often as they occur; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +18,7 @@ drawn; repeated rows count as often as they occur; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,17 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_shuffles, offsets_of, read_table, texts_of, tune
+from .common import Scratch, offsets_of, read_table, texts_of, tune
 from .shingles import PLACE, lowered, mix, word_hashes
 
-#: Bytes of text in a block.
-BLOCK = 2 << 20
-#: Pseudo-count of the lower-order model in each context.
-STRENGTH = 100.0
+#: Bytes of text in a block, and for each bucket of counts.
+BLOCK, BUCKET = 8 << 20, 16 << 20
+#: Pseudo-counts of the next lower model in contexts of one word, of two words and so on; one more than these is the order.
+STRENGTHS = (200.0, 20.0)
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
-WORDS, PAIRS = 0, 1
 
 
 def held_out(doc_id: object) -> bool:
@@ -46,43 +47,51 @@ def held_out(doc_id: object) -> bool:
 
 
 class BackoffAutomaton:
-    """States with arcs and failure arcs; state 0 is the root, state w + 1 follows word w.
+    """The arcs that some texts read, resolved for each token of them.
 
-    ``arcs`` maps state * ``words`` + word to a weight, ``fail`` has the weight of each state's failure arc to the root, ``root``
-    that of the root's arc for each word, and ``known`` tells which words have a state. Weights are log10 probabilities.
+    A state is a context of up to ``order`` - 1 words that training has seen; its level is their number, and level 0 is the root.
+    ``arcs[k]`` tells for each token whether the state of the k words before it has an arc for the token, ``weights[k]`` has that
+    arc's weight and ``fails[k]`` the weight of that state's failure arc to the state of k - 1 words. Weights are log10
+    probabilities. The root has an arc for every token, and ``known`` tells whether training has seen the token itself.
     """
 
-    def __init__(self, arcs: dict[int, float], fail: list[float], root: list[float], known: list[bool]):
-        self.arcs, self.fail, self.root = arcs, fail, root
-        self.words = len(root)
-        self.after = [w + 1 if k else 0 for w, k in enumerate(known)]
-
-    def walk(self, words: list[int], state: int) -> float:
-        """Log10 probability of the words, read from left to right."""
-        arcs, fail, root, after, wide, total = self.arcs.get, self.fail, self.root, self.after, self.words, 0.0
-        for word in words:
-            weight = arcs(state * wide + word) if state else None
-            total += fail[state] + root[word] if weight is None else weight
-            state = after[word]
+    def __init__(self, arcs: list[np.ndarray], weights: list[np.ndarray], fails: list[np.ndarray], known: np.ndarray):
+        self.arcs, self.weights, self.fails, self.known = arcs, weights, fails, known
+        self.top = len(arcs) - 1
+
+    def walk(self, begin: int, end: int) -> float:
+        """Log10 probability of the tokens from ``begin`` to ``end``, read from left to right from the state of a text's start."""
+        arcs, weights, fails = ([x[begin:end].tolist() for x in table] for table in (self.arcs, self.weights, self.fails))
+        known, top, total = self.known[begin:end].tolist(), self.top, 0.0
+        level = top
+        for at in range(end - begin):
+            while level and not arcs[level][at]:
+                total += fails[level][at]
+                level -= 1
+            total += weights[level][at]
+            level = min(level + 1, top) if known[at] else 0
         return total
 
 
 class Block:
-    """Some documents as sequences of word hashes, each with the end token."""
+    """Some documents as sequences of word hashes, each with the end token, and the hashes of their n-grams."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], order: int):
         end = np.array([END])
         self.tokens = np.concatenate([x for text in texts for x in (word_hashes(lowered(text)), end)])  # words of one text at a time
-        self.cuts = np.concatenate([[0], np.flatnonzero(self.tokens == END) + 1])
-        self.lengths = np.diff(self.cuts)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.cuts[:-1]] = START
-        self.pairs = mix(before * PLACE[0] + self.tokens * PLACE[1])
+        cuts = np.concatenate([[0], np.flatnonzero(self.tokens == END) + 1])
+        self.starts, self.lengths, self.order = cuts[:-1], np.diff(cuts), order
 
-    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys and, for each token, the place of its key."""
-        return np.unique(self.tokens if kind == WORDS else self.pairs, return_inverse=True)
+    def keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length of n-grams the sorted distinct keys and, for each token, the place of the n-gram that it ends."""
+        before, folded = self.tokens, self.tokens * PLACE[0]
+        for length in range(1, self.order + 1):
+            if length > 1:
+                before = np.roll(before, 1)
+                before[self.starts] = START
+                folded = folded + before * PLACE[length - 1]
+            keys, at = np.unique(mix(folded + np.uint64(length)), return_inverse=True)
+            yield keys, at.astype(np.int32)
 
 
 def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -107,153 +116,142 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list[bytes]]]:
-    """Neighbouring documents in blocks, numbered by task; the same scan gives the same blocks."""
-    from pyspark import TaskContext
+def _bundling(size: int):
+    """Neighbouring documents in blocks of about ``size`` bytes, each as one compressed row, numbered by task."""
 
-    number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text) + 16
-            if size >= most:
-                yield number, ids, texts
-                number, ids, texts, size = number + 1, [], [], 0
-    if ids:
-        yield number, ids, texts
+    def row(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts], dtype="<i8")
+        packed = zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(texts))
+        training = sum(not held_out(i) for i in ids)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([training], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["block", "bytes", "training", "ids", "texts"])
 
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                held += len(text) + 16
+                if held >= size:
+                    yield row(number, ids, texts)
+                    number, ids, texts, held = number + 1, [], [], 0
+        if ids:
+            yield row(number, ids, texts)
+
+    return bundle
 
-def _asking(buckets: int, size: int):
-    """Messages of each block: its keys of each kind and their training counts, split by the top bits of the keys."""
+
+def _opened(ids: list, packed: bytes, order: int) -> Block:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    cuts = (offsets_of(np.frombuffer(raw[: 8 * len(ids)], dtype="<i8")) + 8 * len(ids)).tolist()
+    return Block([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], order)
+
+
+def _asking(buckets: int, order: int):
+    """Messages of each block: its keys of each length and their training counts, split by the top bits of the keys."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
-        for number, ids, texts in _blocks(batches, size):
-            block = Block(texts)
-            training = np.repeat([not held_out(i) for i in ids], block.lengths)
-            for kind in (WORDS, PAIRS):
-                keys, at = block.keys(kind)
-                counts = np.bincount(at[training], minlength=len(keys))
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                payload = [pack_keys(keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array([kind] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(payload, pa.binary())], ["block", "kind", "bucket", "payload"])
+        for batch in batches:
+            for number, ids, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "texts")), strict=True):
+                block = _opened(ids, packed, order)
+                training = np.repeat([not held_out(i) for i in ids], block.lengths)
+                for length, (keys, at) in enumerate(block.keys(), 1):
+                    counts = np.bincount(at[training], minlength=len(keys))
+                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                    payload = [pack_keys(keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in full]
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array([length] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array(payload, pa.binary())], ["block", "length", "bucket", "payload"])
 
     return ask
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of one bucket: an answer to each block, and a row with the numbers of tokens and of known words."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+    """Totals of the keys of one length in one bucket: an answer to each block, and a row with the numbers of tokens and of known keys."""
+    length, bucket = table.column("length")[0].as_py(), table.column("bucket")[0].as_py()
     asked = [unpack_keys(p) for p in table.column("payload").to_pylist()]
     keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
     totals = np.bincount(at, weights=np.concatenate([c for _, c in asked]), minlength=len(keys)).astype(np.int64)
     cuts = offsets_of(np.array([len(k) for k, _ in asked]))
     answers = [pack_counts(totals[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    checks = [xxhash.xxh3_64_intdigest(k.tobytes()) >> 1 for k, _ in asked]
     n = len(asked)
     return pa.table({
         "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()),
-        "kind": pa.array([kind] * (n + 1), pa.int32()),
+        "length": pa.array([length] * (n + 1), pa.int32()),
         "bucket": pa.array([bucket] * (n + 1), pa.int32()),
         "payload": pa.array([*answers, b""], pa.binary()),
-        "check": pa.array([*checks, 0], pa.int64()),
         "tokens": pa.array([0] * n + [int(totals.sum())], pa.int64()),
         "known": pa.array([0] * n + [int((totals > 0).sum())], pa.int64()),
     })
 
 
-def _bundling(size: int):
-    """The blocks again, each as one compressed row."""
-
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, texts in _blocks(batches, size):
-            sizes = np.array([len(t) for t in texts], dtype="<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(texts))], pa.binary())], ["block", "ids", "texts"])
-
-    return bundle
-
-
-def build_automaton(words: np.ndarray, word_of: np.ndarray, pair_of: np.ndarray, pairs: np.ndarray, starts: np.ndarray, n: int, v: int, documents: int, strength: float) -> BackoffAutomaton:
+def build_automaton(counts: list[np.ndarray], places: list[np.ndarray], starts: np.ndarray, n: int, v: int, documents: int, strengths: tuple[float, ...]) -> BackoffAutomaton:
     """The part of the automaton that a block's texts reach.
 
-    ``words`` and ``pairs`` are training counts of its distinct words and pairs, ``word_of`` and ``pair_of`` tell each token's,
-    ``starts`` where texts begin. A text begins in a state of its own, the last one.
+    ``counts[k]`` are training counts of its distinct n-grams of k + 1 words, ``places[k]`` tells which of them each token ends, and
+    ``starts`` where texts begin; the contexts there are start marks alone, which ``documents`` training texts have.
     """
-    share = (words + 0.5) / (n + 0.5 * (v + 1))
-    context = np.concatenate([[0], words, [documents]]).astype(np.float64)
-    state_of = np.empty_like(word_of)
-    state_of[1:] = word_of[:-1] + 1
-    state_of[starts] = len(words) + 1
-    first = np.zeros(len(pairs), dtype=np.int64)
-    first[pair_of] = np.arange(len(pair_of))  # one token of each pair tells its state and word
-    state, word = state_of[first], word_of[first]
-    seen = pairs > 0
-    state, word, times = state[seen], word[seen], pairs[seen]
-    weights = np.log10((times + strength * share[word]) / (context[state] + strength))
-    arcs = dict(zip((state * len(words) + word).tolist(), weights.tolist(), strict=True))
-    fail = np.log10(strength / (context + strength))
-    return BackoffAutomaton(arcs, fail.tolist(), np.log10(share).tolist(), (words > 0).tolist())
-
-
-def _scoring(n: int, v: int, documents: int, strength: float):
+    share = (counts[0] + 0.5) / (n + 0.5 * (v + 1))  # by n-gram, for one length after the other
+    arcs, weights, fails = [np.ones(len(places[0]), dtype=bool)], [np.log10(share)[places[0]]], [np.zeros(len(places[0]))]
+    for k, strength in enumerate(strengths, 1):
+        some = np.empty(len(counts[k]), dtype=np.int64)
+        some[places[k]] = np.arange(len(places[k]))  # a token that ends each n-gram
+        context = np.empty(len(places[k]), dtype=np.float64)
+        context[1:] = counts[k - 1][places[k - 1]][:-1]
+        context[starts] = documents
+        share = (counts[k] + strength * share[places[k - 1][some]]) / (context[some] + strength)
+        arcs.append((counts[k] > 0)[places[k]])
+        weights.append(np.log10(share)[places[k]])
+        fails.append(np.log10(strength / (context + strength)))
+    return BackoffAutomaton(arcs, weights, fails, counts[0][places[0]] > 0)
+
+
+def _scoring(n: int, v: int, documents: int, strengths: tuple[float, ...]):
     """Walk the automaton of a block through its texts."""
 
     def score(answers: pa.Table, bundle: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for ids, packed in zip(bundle.column("ids").to_pylist(), bundle.column("texts").to_pylist(), strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(packed)
-            sizes = np.frombuffer(raw[: 8 * len(ids)], dtype="<i8")
-            cuts = (offsets_of(sizes) + 8 * len(ids)).tolist()
-            block = Block([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            block = _opened(ids, packed, len(strengths) + 1)
             counts, places = [], []
-            for kind in (WORDS, PAIRS):
-                keys, at = block.keys(kind)
-                rows = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("bucket")
-                got = [unpack_counts(p) for p in rows.column("payload").to_pylist()]
-                ends = offsets_of(np.array([len(g) for g in got]))
-                checks = [xxhash.xxh3_64_intdigest(keys[a:b].tobytes()) >> 1 for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                if ends[-1] != len(keys) or checks != rows.column("check").to_pylist():
-                    raise RuntimeError("the answers do not belong to this block: the input changed between two scans")
-                counts.append(np.concatenate(got))
+            for length, (keys, at) in enumerate(block.keys(), 1):
+                rows = answers.filter(pa.compute.equal(answers.column("length"), length)).sort_by("bucket")
+                counts.append(np.concatenate([unpack_counts(p) for p in rows.column("payload").to_pylist()]))
                 places.append(at)
-            starts = block.cuts[:-1]
-            automaton = build_automaton(counts[0], places[0], places[1], counts[1], starts, n, v, documents, strength)
-            root = np.array(automaton.root)
-            tokens, begin = places[0].tolist(), len(counts[0]) + 1
+                if len(keys) != len(counts[-1]):
+                    raise RuntimeError("the answers do not belong to this block")
+            automaton = build_automaton(counts, places, block.starts, n, v, documents, strengths)
+            ends = block.starts + block.lengths
             out["doc_id"] += ids
             out["held_out"] += [held_out(i) for i in ids]
             out["n_tokens"] += block.lengths.tolist()
-            out["n_known"] += np.add.reduceat((counts[0] > 0)[places[0]].astype(np.int64), starts).tolist()
-            out["base_score"] += np.add.reduceat(root[places[0]], starts).tolist()
-            out["score"] += [automaton.walk(tokens[a:b], begin) for a, b in zip(block.cuts[:-1].tolist(), block.cuts[1:].tolist(), strict=True)]
+            out["n_known"] += np.add.reduceat(automaton.known.astype(np.int64), block.starts).tolist()
+            out["base_score"] += np.add.reduceat(automaton.weights[0], block.starts).tolist()
+            out["score"] += [automaton.walk(a, b) for a, b in zip(block.starts.tolist(), ends.tolist(), strict=True)]
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "held_out": pa.array(out["held_out"], pa.bool_()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([n] * len(out["doc_id"]), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 
     return score
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, strength: float = STRENGTH, buckets: int | None = None, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of every document: the columns of the contract of ``op8``. ``buckets`` should grow with the input.
-
-    The documents are read twice and must come in the same order both times, as a scan of files does; digests of the keys tell if
-    they did not, and the job fails instead of mixing blocks up.
-    """
-    spark = docs.sparkSession
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def score_documents(docs: DataFrame, scratch: Scratch, strengths: tuple[float, ...] = STRENGTHS, block: int = BLOCK, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of every document by n-grams of up to ``len(strengths) + 1`` words: the columns of the contract of ``op8``."""
+    order = len(strengths) + 1
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    asked = docs.mapInArrow(_asking(buckets, block), "block long, kind int, bucket int, payload binary")
-    answers = asked.groupBy("kind", "bucket").applyInArrow(_answer, "block long, kind int, bucket int, payload binary, check long, tokens long, known long")
+    bundles = scratch.table(docs.mapInArrow(_bundling(block), "block long, bytes long, training long, ids array<long>, texts binary"), "blocks")
+    blocks, size, documents = (int(x or 0) for x in bundles.agg(F.count("*"), F.sum("bytes"), F.sum("training")).first())
+    buckets = max(1, math.ceil(size / bucket))
+    asked = bundles.select("block", "ids", "texts").mapInArrow(_asking(buckets, order), "block long, length int, bucket int, payload binary")
+    asked = asked.repartitionById(buckets, F.col("bucket"))
+    answers = asked.groupBy("length", "bucket").applyInArrow(_answer, "block long, length int, bucket int, payload binary, tokens long, known long")
     answers = scratch.table(answers, "answers")
-    free_shuffles(spark)
-    sums = answers.filter(f"block < 0 and kind = {WORDS}").agg(F.sum("tokens"), F.sum("known")).first()
-    n, v = (int(x or 0) for x in sums)
-    ids = docs.select("doc_id").withColumn("crc", F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")))
-    documents = ids.filter(f"crc % {FOLDS} <> {HELD_OUT}").count()
-    bundles = docs.mapInArrow(_bundling(block), "block long, ids array<long>, texts binary")
-    answers = answers.filter("block >= 0").select("block", "kind", "bucket", "payload", "check")
+    n, v = (int(x or 0) for x in answers.filter("block < 0 and length = 1").agg(F.sum("tokens"), F.sum("known")).first())
+    tasks = max(1, blocks)
+    sides = answers.filter("block >= 0").select("block", "length", "bucket", "payload"), bundles.select("block", "ids", "texts")
+    answers, bundles = (side.repartition(tasks, "block").groupBy("block") for side in sides)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("block").cogroup(bundles.groupBy("block")).applyInArrow(_scoring(n, v, documents, strength), schema)
+    return answers.cogroup(bundles).applyInArrow(_scoring(n, v, documents, strengths), schema)
 
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
