@@ -134,7 +134,7 @@ def test_probabilities_add_up():
         total = 0.0
         for word in (b"a", b"b", b"c", None, b"unknown"):
             probe = context if word is None else context + b" " + word
-            block = ngram_lm.Block([*texts, probe], 3)
+            block = ngram_lm.Block.of([*texts, probe], 3)
             training = np.repeat([True, True, True, False], block.lengths)
             keys = list(block.keys())
             counts = [np.bincount(at[training], minlength=len(k)) for k, at in keys]
@@ -146,9 +146,15 @@ def test_probabilities_add_up():
     assert all(math.isclose(x, 1.0) for x in seen.values()), seen
 
 
+def test_packed_blocks():
+    block = ngram_lm.Block.of([b"a b a c", b"", b"a " * 500, b"x"], 3)
+    again = ngram_lm.Block.unpack(block.pack(), block.lengths.tolist(), 3)
+    assert (again.tokens == block.tokens).all() and again.starts.tolist() == [0, 5, 6, 507]
+
+
 def test_failures_form_a_chain():
     """An unseen third word fails from the pair to the last word, and an unseen second one on to the root."""
-    block = ngram_lm.Block([b"a b c", b"a b", b"x b c", b"a b d", b"a b a"], 3)
+    block = ngram_lm.Block.of([b"a b c", b"a b", b"x b c", b"a b d", b"a b a"], 3)
     training = np.repeat([True, False, True, False, False], block.lengths)
     keys = list(block.keys())
     counts = [np.bincount(at[training], minlength=len(k)) for k, at in keys]

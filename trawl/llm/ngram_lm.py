@@ -6,7 +6,7 @@ state with an arc for each word seen after it and a failure arc of weight m / (c
 for every word. With the production order of three a chain of failures leads from a pair of words to the last word and on to the
 root. One pass over a text from left to right carries the state and adds up log-probabilities.
 
-The counts follow the corpus, so no task and no driver holds them all. Texts are written once in blocks of some megabytes. Each
+The counts follow the corpus, so no task and no driver holds them all. Texts are written once, as hashed words in blocks. Each
 block sends the sorted distinct hashes of its n-grams of every length, with their training counts, to buckets by hash; a bucket adds
 up what the blocks sent and answers each block with the totals of the keys it asked for. From the answers a block builds the part of
 the automaton that its own texts can reach, and walks through them. There are as many buckets as the bytes of all texts ask for, so
@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .common import Scratch, offsets_of, read_table, texts_of, tune
 from .shingles import PLACE, lowered, mix, word_hashes
 
 #: Bytes of text in a block, and for each bucket of counts.
-BLOCK, BUCKET = 8 << 20, 16 << 20
+BLOCK, BUCKET = 4 << 20, 16 << 20
 #: Pseudo-counts of the next lower model in contexts of one word, of two words and so on; one more than these is the order.
 STRENGTHS = (200.0, 20.0)
 FOLDS, HELD_OUT = 5, 1
@@ -76,22 +77,44 @@ class BackoffAutomaton:
 class Block:
     """Some documents as sequences of word hashes, each with the end token, and the hashes of their n-grams."""
 
-    def __init__(self, texts: list[bytes], order: int):
-        end = np.array([END])
-        self.tokens = np.concatenate([x for text in texts for x in (word_hashes(lowered(text)), end)])  # words of one text at a time
-        cuts = np.concatenate([[0], np.flatnonzero(self.tokens == END) + 1])
-        self.starts, self.lengths, self.order = cuts[:-1], np.diff(cuts), order
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, order: int):
+        self.tokens, self.lengths, self.order = tokens, lengths, order
+        self.starts = offsets_of(lengths)[:-1]
 
-    def keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length of n-grams the sorted distinct keys and, for each token, the place of the n-gram that it ends."""
+    @classmethod
+    def of(cls, texts: list[bytes], order: int = 1) -> Block:
+        end = np.array([END])
+        hashed = [word_hashes(lowered(text)) for text in texts]  # words of one text at a time
+        return cls(np.concatenate([x for h in hashed for x in (h, end)]), np.array([len(h) + 1 for h in hashed], dtype=np.int64), order)
+
+    def pack(self) -> bytes:
+        """Distinct words with their counts, and each token's rank by count as byte planes, compressed."""
+        words, at, counts = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        rank = np.empty(len(words), dtype="<u4")
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+        head = pack_keys(words, counts)
+        planes = rank[at].view(np.uint8).reshape(-1, 4).T.tobytes()
+        return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=1).compress(planes)
+
+    @classmethod
+    def unpack(cls, data: bytes, lengths: list[int], order: int) -> Block:
+        size = int.from_bytes(data[:8], "little")
+        words, counts = unpack_keys(data[8 : 8 + size])
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 + size :]), dtype=np.uint8).reshape(4, -1)
+        ranks = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+        return cls(words[np.argsort(-counts.astype(np.int64), kind="stable")][ranks], np.array(lengths, dtype=np.int64), order)
+
+    def keys(self, first: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length of n-grams from ``first`` on the sorted distinct keys and, for each token, the place of the n-gram that it ends."""
         before, folded = self.tokens, self.tokens * PLACE[0]
         for length in range(1, self.order + 1):
             if length > 1:
                 before = np.roll(before, 1)
                 before[self.starts] = START
                 folded = folded + before * PLACE[length - 1]
-            keys, at = np.unique(mix(folded + np.uint64(length)), return_inverse=True)
-            yield keys, at.astype(np.int32)
+            if length >= first:
+                keys, at = np.unique(mix(folded + np.uint64(length)), return_inverse=True)
+                yield keys, at.astype(np.int32)
 
 
 def pack_keys(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -117,13 +140,12 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def _bundling(size: int):
-    """Neighbouring documents in blocks of about ``size`` bytes, each as one compressed row, numbered by task."""
+    """Neighbouring documents in blocks of about ``size`` bytes, the hashed words of each as one compressed row, numbered by task."""
 
     def row(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        sizes = np.array([len(t) for t in texts], dtype="<i8")
-        packed = zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(texts))
+        block = Block.of(texts)
         training = sum(not held_out(i) for i in ids)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([int(sizes.sum())], pa.int64()), pa.array([training], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["block", "bytes", "training", "ids", "texts"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sum(map(len, texts))], pa.int64()), pa.array([training], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([block.lengths], pa.list_(pa.int64())), pa.array([block.pack()], pa.binary())], ["block", "bytes", "training", "ids", "lengths", "tokens"])
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,22 +165,16 @@ def _bundling(size: int):
     return bundle
 
 
-def _opened(ids: list, packed: bytes, order: int) -> Block:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    cuts = (offsets_of(np.frombuffer(raw[: 8 * len(ids)], dtype="<i8")) + 8 * len(ids)).tolist()
-    return Block([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], order)
-
-
-def _asking(buckets: int, order: int):
-    """Messages of each block: its keys of each length and their training counts, split by the top bits of the keys."""
+def _asking(buckets: int, first: int, last: int):
+    """Messages of each block: its keys of lengths ``first`` to ``last`` and their training counts, split by the top bits of the keys."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
         for batch in batches:
-            for number, ids, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "texts")), strict=True):
-                block = _opened(ids, packed, order)
+            for number, ids, lengths, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "lengths", "tokens")), strict=True):
+                block = Block.unpack(packed, lengths, last)
                 training = np.repeat([not held_out(i) for i in ids], block.lengths)
-                for length, (keys, at) in enumerate(block.keys(), 1):
+                for length, (keys, at) in enumerate(block.keys(first), first):
                     counts = np.bincount(at[training], minlength=len(keys))
                     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                     full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -213,8 +229,8 @@ def _scoring(n: int, v: int, documents: int, strengths: tuple[float, ...]):
 
     def score(answers: pa.Table, bundle: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for ids, packed in zip(bundle.column("ids").to_pylist(), bundle.column("texts").to_pylist(), strict=True):
-            block = _opened(ids, packed, len(strengths) + 1)
+        for ids, lengths, packed in zip(*(bundle.column(c).to_pylist() for c in ("ids", "lengths", "tokens")), strict=True):
+            block = Block.unpack(packed, lengths, len(strengths) + 1)
             counts, places = [], []
             for length, (keys, at) in enumerate(block.keys(), 1):
                 rows = answers.filter(pa.compute.equal(answers.column("length"), length)).sort_by("bucket")
@@ -239,17 +255,22 @@ def score_documents(docs: DataFrame, scratch: Scratch, strengths: tuple[float, .
     """Scores of every document by n-grams of up to ``len(strengths) + 1`` words: the columns of the contract of ``op8``."""
     order = len(strengths) + 1
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bundles = scratch.table(docs.mapInArrow(_bundling(block), "block long, bytes long, training long, ids array<long>, texts binary"), "blocks")
-    blocks, size, documents = (int(x or 0) for x in bundles.agg(F.count("*"), F.sum("bytes"), F.sum("training")).first())
-    buckets = max(1, math.ceil(size / bucket))
-    asked = bundles.select("block", "ids", "texts").mapInArrow(_asking(buckets, order), "block long, length int, bucket int, payload binary")
-    asked = asked.repartitionById(buckets, F.col("bucket"))
-    answers = asked.groupBy("length", "bucket").applyInArrow(_answer, "block long, length int, bucket int, payload binary, tokens long, known long")
-    answers = scratch.table(answers, "answers")
-    n, v = (int(x or 0) for x in answers.filter("block < 0 and length = 1").agg(F.sum("tokens"), F.sum("known")).first())
-    tasks = max(1, blocks)
-    sides = answers.filter("block >= 0").select("block", "length", "bucket", "payload"), bundles.select("block", "ids", "texts")
-    answers, bundles = (side.repartition(tasks, "block").groupBy("block") for side in sides)
+    bundles = scratch.table(docs.mapInArrow(_bundling(block), "block long, bytes long, training long, ids array<long>, lengths array<long>, tokens binary"), "blocks")
+    totals = bundles.agg(F.count("*"), F.sum("bytes"), F.sum("training"), F.max(F.shiftright("block", 32)) + 1, F.max(F.col("block").bitwiseAND(0xFFFFFFFF)) + 1)
+    blocks, size, documents, tasks, most = (int(x or 0) for x in totals.first())
+    buckets, tables = max(1, math.ceil(size / bucket)), []
+    for first, last in [(1, min(2, order)), *((length, length) for length in range(3, order + 1))]:  # no more on the disks at once
+        asked = bundles.select("block", "ids", "lengths", "tokens").mapInArrow(_asking(buckets, first, last), "block long, length int, bucket int, payload binary")
+        asked = asked.repartitionById(buckets, F.col("bucket"))
+        found = asked.groupBy("length", "bucket").applyInArrow(_answer, "block long, length int, bucket int, payload binary, tokens long, known long")
+        tables.append(scratch.table(found, f"answers-{first}"))
+    n, v = (int(x or 0) for x in tables[0].filter("block < 0 and length = 1").agg(F.sum("tokens"), F.sum("known")).first())
+    answers = reduce(DataFrame.unionByName, tables).filter("block >= 0").select("block", "length", "bucket", "payload")
+    places = max(1, min(math.ceil(tasks * most / 2), 2 * blocks))  # two blocks a task, each pair in a place of its own where tasks had alike many
+    number = F.shiftright("block", 32) * most + F.col("block").bitwiseAND(0xFFFFFFFF)
+    place = F.pmod(F.shiftright(number, 1), F.lit(places)).cast("int")
+    sides = answers, bundles.select("block", "ids", "lengths", "tokens")
+    answers, bundles = (side.withColumn("place", place).repartitionById(places, F.col("place")).groupBy("place", "block") for side in sides)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return answers.cogroup(bundles).applyInArrow(_scoring(n, v, documents, strengths), schema)
 
