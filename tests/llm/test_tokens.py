@@ -47,16 +47,43 @@ def test_few_states_and_a_small_memo_change_nothing(ranks, library):
     some = some_texts(ranks, 300)
     for text in some:
         assert next(encoder.encode([text]))[0] == library.encode_ordinary(text)
+    assert encoder.transducer.flushes > 10 and len(encoder.transducer.hypotheses) <= 51
 
 
-def test_lookahead_is_bounded(ranks):
-    """Emitted ids never lag behind by more than the longest token."""
+def test_long_pieces_are_emitted_in_windows(ranks, library, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [b.decode() for b in ranks if b.isalpha() and b.isascii()]
+    text = "".join(rng.choice(vocabulary) for _ in range(30_000))
     machine = bpe.Transducer(ranks)
-    state, done, data = 0, 0, "Uncharacteristically unbelievable internationalization".encode()
-    for at, byte in enumerate(data, 1):
-        state, out = machine._step(state, byte)
-        done += sum(len(machine.bytes_of[t]) for t in out)
-        assert at - done <= machine.longest
+    assert machine.encode(text.encode()) == library.encode_ordinary(text)
+    monkeypatch.setattr(bpe, "WINDOW", 7)
+    for at in range(0, 3000, 30):
+        assert machine.encode(text[at : at + 30].encode()) == library.encode_ordinary(text[at : at + 30])
+
+
+def test_lookahead_is_bounded(ranks):
+    """What all hypotheses agree on never lags behind by more than twice the longest token."""
+    machine, rng = bpe.Transducer(ranks), random.Random(8)
+    vocabulary = [b for b in ranks if b.isalpha()]
+    for _ in range(30):
+        data, state, lengths = b"".join(rng.choice(vocabulary) for _ in range(40)), 0, []
+        for byte in data:
+            state, _, length = machine._step(state, byte)
+            lengths.append(length)
+            assert len(lengths) - machine.agreed(state, lengths) <= 2 * machine.longest
+
+
+def test_states_grow_slower_than_texts(ranks, library):
+    """Real pieces share states: words of the test table lead to far fewer states than they have beginnings."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    encoder = bpe.Encoder(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    for text, (ids, _) in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == library.encode_ordinary(text)
+    pieces = {p.encode() for t in texts for p in encoder.pieces(t)} - set(ranks)
+    beginnings = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+    assert encoder.transducer.flushes == 0 and 4 * len(encoder.transducer.hypotheses) < len(beginnings)
 
 
 def test_pair_rule_equals_merging(ranks):

@@ -2,11 +2,12 @@
 
 A sequence of vocabulary tokens is the BPE encoding of its bytes exactly if every token encodes to itself and every two
 neighbours, encoded together, stay the same two tokens. That makes encoding a matter of a finite-state machine: a hypothesis
-holds the last finished token and the bytes read since, which must begin some token. All hypotheses alive at once form one state
-of the determinised transducer; what their outputs begin with in common is emitted at once and the rest is carried as residual
-output. Hypotheses die when their bytes begin no token, so that tokens come out after a lookahead of at most the longest token.
-States and transitions are made when first needed; once there are as many as allowed, a piece of text that needs new ones runs
-through the same machine as a set of hypotheses.
+holds the last finished token and the bytes read since, which must begin some token that may follow. All hypotheses alive at once
+form one state of the determinised transducer. Exactly one of them has nothing left over, so that a transition puts out the token
+that ends with its byte in the encoding of the text so far; tokens on which all hypotheses agree are emitted, after a lookahead
+that the longest token bounds. Last tokens after which the same tokens may follow, given the bytes read since, are the same in a
+state, so that states are far fewer than the texts that lead to them. States and transitions are made when first needed; once there
+are as many as allowed, all are dropped and made anew as needed. There is no other way through.
 
 Defined results: a null or empty text has no ids and decodes to nothing; malformed bytes in a stream of ids decode to U+FFFD;
 repeated rows give equal results; an empty table gives an empty result; other columns are ignored.
@@ -32,7 +33,9 @@ from .common import read_table, tune
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of a worker's memo of frequent text pieces, and states of its transducer.
 MEMO = 800_000
-STATES = 150_000
+STATES = 100_000
+#: Bytes of a piece between two emissions.
+WINDOW = 4096
 #: Remembered answers to whether a token may follow another.
 VALID = 500_000
 #: Plain words, which are one match of the pattern.
@@ -59,21 +62,33 @@ def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Transducer:
     """Bytes of one piece of text to token ids.
 
-    A hypothesis is (residual output, last token or -1, bytes since). ``steps`` maps (state, byte) to (state, emitted ids).
+    A hypothesis is (last token or -1, bytes since), a state a tuple of them, the shortest rest last. ``steps`` maps (state, byte)
+    to (state, token that ends here, its length).
     """
 
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.begins = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        self.longer: dict[bytes, list[int]] = {}
+        for token, rank in ranks.items():
+            for n in range(2, len(token)):
+                self.longer.setdefault(token[:n], []).append(rank)
+        self.extended = {token[:n] for token in ranks for n in range(1, len(token))}
         self.longest = max(map(len, ranks))
-        self.limit = states
+        self.limit, self.flushes = states, 0
         self.valid: dict[int, bool] = {}
         self.spines: dict[int, list[tuple[bytes, int, int]] | None] = {}
-        self.hypotheses: list[tuple] = [(((), -1, b""),)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop all states; the first is that before a piece."""
+        self.hypotheses: list[tuple] = [((-1, b""),)]
         self.numbers: dict[tuple, int] = {self.hypotheses[0]: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.steps: dict[int, tuple[int, int, int]] = {}
+        self.alike: dict[tuple[int, bytes], int | None] = {}
+        self.by_edge: dict[tuple, int | None] = {}
+        self.by_tokens: dict[tuple, int] = {}
 
     def _spine(self, token: int, right: bool) -> list[tuple[bytes, int, int]] | None:
         """Parts of a token at its right or left edge while BPE builds it: (part, made at, used up at), the whole last.
@@ -121,75 +136,84 @@ class Transducer:
         self.valid[last << 32 | token] = found
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        alive, begins, tokens, valid = [], self.begins, self.ranks.get, self.valid
-        byte = SINGLE[byte]
-        for out, last, since in self.hypotheses[state]:
-            since += byte
-            if since in begins:
-                alive.append((out, last, since))
-                token = tokens(since)
-                if token is not None:
-                    found = valid.get(last << 32 | token)
-                    if found is None:
-                        found = self._valid(last, token)
-                    if found:
-                        alive.append(((*out, token), token, b""))
-        first = alive[0][0]
-        common = len(first)
-        for out, _, _ in alive[1:]:
-            n = 0
-            while n < common and n < len(out) and out[n] == first[n]:
-                n += 1
-            common = n
-        kept = tuple((out[common:], last, since) for out, last, since in alive)
-        number = self.numbers.get(kept)
+    def _like(self, last: int, since: bytes) -> int | None:
+        """The token that stands for all after which the same tokens that begin with ``since`` may follow; None if none may."""
+        if (last, since) in self.alike:
+            return self.alike[last, since]
+        ranks, begins, places = self.ranks.get, self.begins, range(1, len(since))
+        # the parts at the token's edge that could merge with what begins a token after it
+        edge = () if last < 0 else tuple(x for x in self._spine(last, True) if x[0] + since in begins or any((ranks(x[0] + since[:n]) or x[2]) < x[2] for n in places))
+        found = self.by_edge.get((since, edge), 0)
+        if found == 0:
+            follow: object = edge
+            if len(since) > 1:  # few enough to ask one by one
+                follow = frozenset(t for t in self.longer[since] if self.valid.get(last << 32 | t, None) or last << 32 | t not in self.valid and self._valid(last, t))
+            found = self.by_edge[since, edge] = self.by_tokens.setdefault((since, follow), last) if follow or len(since) == 1 else None
+        self.alike[last, since] = found
+        return found
+
+    def _step(self, state: int, byte: int) -> tuple[int, int, int]:
+        alive, tokens, valid, extended = [], self.ranks.get, self.valid, self.extended
+        single, done, size = SINGLE[byte], -1, 0
+        for last, since in self.hypotheses[state]:
+            since += single
+            token = tokens(since)
+            if token is not None and not size:
+                found = valid.get(last << 32 | token)
+                if found is None:
+                    found = self._valid(last, token)
+                if found:
+                    done, size = token, len(since)
+            if since in extended:
+                same = self._like(last, since)
+                if same is not None:
+                    alive.append((same, since))
+        alive.append((done, b""))
+        after = tuple(alive)
+        number = self.numbers.get(after)
         if number is None:
-            number = self.numbers[kept] = len(self.hypotheses)
-            self.hypotheses.append(kept)
-        return number, first[:common]
+            full = len(self.hypotheses) >= self.limit or len(self.alike) > 10 * self.limit
+            if full:
+                self._forget()
+                self.flushes += 1
+            number = self.numbers[after] = len(self.hypotheses)
+            self.hypotheses.append(after)
+            if full:
+                return number, done, size
+        step = self.steps[state << 8 | byte] = number, done, size
+        return step
+
+    def agreed(self, state: int, lengths: list[int]) -> int:
+        """How many of the bytes read all hypotheses of the state encode alike; ``lengths`` are those of the tokens that end there."""
+        ends = {len(lengths) - len(since) for _, since in self.hypotheses[state]}
+        while len(ends) > 1:
+            last = max(ends)
+            ends.remove(last)
+            ends.add(last - lengths[last - 1])
+        return ends.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        steps, state, out = self.steps, 0, []
-        for byte in piece:
-            key = state << 8 | byte
-            step = steps.get(key)
-            if step is None:
-                if len(self.hypotheses) >= self.limit:
-                    return self._simulate(piece)
-                step = steps[key] = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        rest = self.ends.get(state)
-        if rest is None:
-            (rest,) = (o for o, _, since in self.hypotheses[state] if not since)
-            self.ends[state] = rest
-        return [*out, *rest]
-
-    def _simulate(self, piece: bytes) -> list[int]:
-        """The same machine without determinised states: after each byte, the one hypothesis with nothing left over."""
-        tokens, valid, longest = self.ranks.get, self.valid, self.longest
-        last, begun = [-1], [0]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = tokens(piece[start:end])
-                if token is not None:
-                    found = valid.get(last[start] << 32 | token)
-                    if found is None:
-                        found = self._valid(last[start], token)
-                    if found:
-                        last.append(token)
-                        begun.append(start)
-                        break
-        out, at = [], len(piece)
-        while at:
-            out.append(last[at])
-            at = begun[at]
-        return out[::-1]
+        steps, state, out, tokens, lengths = self.steps.get, 0, [], [], []
+        for at in range(0, len(piece), WINDOW):
+            for byte in piece[at : at + WINDOW]:
+                step = steps(state << 8 | byte)
+                if step is None:
+                    step = self._step(state, byte)
+                    steps = self.steps.get
+                state, token, length = step
+                tokens.append(token)
+                lengths.append(length)
+            end = self.agreed(state, lengths) if at + WINDOW < len(piece) else len(lengths)
+            back, place = [], end
+            while place:
+                back.append(tokens[place - 1])
+                place -= lengths[place - 1]
+            out += back[::-1]
+            del tokens[:end], lengths[:end]
+        return out
 
 
 def _utf8_machine() -> dict[int, dict[int, int]]:
