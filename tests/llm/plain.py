@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,3 +86,13 @@ def jump(key, buckets):
         key = (key * 2862933555777941757 + 1) % (1 << 64)
         j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
     return b
+
+
+def best_fit(lengths, capacity=4096):
+    """Number of sequences that best-fit decreasing needs, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        rooms.insert(bisect_left(rooms, room - n), room - n)
+    return len(rooms)

@@ -19,9 +19,34 @@ def test_odd_tables(odd, empty, scratch, texts):
     rows = minhash.near_duplicates(odd, scratch).collect()
     assert len(rows) == len(texts) + 1
     assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(5, False)]
+    expected = near_duplicates(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] is not None} == expected
+    stay = minhash.survivors(odd, scratch)
+    assert stay.columns == odd.columns
+    assert sorted(r["doc_id"] for r in stay.collect()) == [k for k, (_, _, keep) in sorted(expected.items()) if keep]
     assert minhash.near_duplicates(empty, scratch).count() == 0
 
 
+def test_repeated_and_missing_ids(spark, scratch):
+    """Rows with equal ids are one document; copies without an id are found as well; one row of each group stays."""
+    words = [f"w{i}" for i in range(300)]
+    a, b, c, d = (" ".join(words[i : i + 60]) for i in (0, 70, 140, 210))
+    near = lambda text: text + " extra"
+    rows = [(7, a), (7, a), (7, b), (3, near(b)), (9, c), (None, near(c)), (None, d), (None, near(d)), (None, d), (11, near(a)), (None, ""), (None, None), (12, ""), (12, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id int, text string, n int")
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, scratch).collect()}
+    assert found == {(7, 56, 3, False), (3, 57, 3, True), (9, 56, 9, True), (None, 57, 9, False), (None, 56, None, True), (None, 57, None, True), (11, 57, 3, False), (None, 0, None, True), (12, 0, 12, True)}
+    stay = sorted(((r["doc_id"] or 0, r["text"] or "") for r in minhash.survivors(df, scratch).collect()), key=str)
+    assert stay == sorted([(3, near(b)), (9, c), (0, d), (0, ""), (0, ""), (12, "")], key=str)
+
+
+def test_blocks_change_nothing(docs, scratch, texts, monkeypatch):
+    for name, value in (("BLOCK", 5), ("BLOCK_BYTES", 3000), ("BROADCAST_IDS", 1)):
+        monkeypatch.setattr(minhash, name, value)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, scratch).collect()}
+    assert found == near_duplicates(texts)
+
+
 def test_families_find_links_that_no_hub_has(spark, scratch):
     """A chain of texts, each similar to the next but not to the one after."""
     words = [f"w{i}" for i in range(400)]
@@ -32,16 +57,18 @@ def test_families_find_links_that_no_hub_has(spark, scratch):
     assert found[119][1] == 0
 
 
-def test_odd_sketches_estimate_high_similarities():
+def test_odd_sketches_tell_similarities():
+    """The differing bits of sketches estimate the similarity, with the spread that the cutoff allows for."""
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
-    for similarity in (0.6, 0.75, 0.9):
-        common = int(2000 * similarity / (1 + similarity) * 2) // 2
-        a = np.unique(np.concatenate([pool[:common], pool[2000 : 2000 + 1000 - common // 2]]))
-        b = np.unique(np.concatenate([pool[:common], pool[3000 : 3000 + 1000 - common // 2]]))
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        estimate = minhash.estimated_similarity(minhash.odd_sketch(minhash.samples(a)), minhash.odd_sketch(minhash.samples(b)))
-        assert abs(estimate - true) < 0.12
+    for similarity in (0.6, 0.75, 0.9, 0.97):
+        common, errors = round(2000 * similarity / (1 + similarity)), []
+        for _ in range(40):
+            pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+            a, b = pool[:1000], np.concatenate([pool[:common], pool[1000 : 2000 - common]])
+            bits = int(np.bitwise_count((minhash.odd_sketch(minhash.samples(a)) ^ minhash.odd_sketch(minhash.samples(b))).view(np.uint64)).sum())
+            errors.append(1 + minhash.BITS / (4 * minhash.SAMPLES) * math.log(1 - 2 * bits / minhash.BITS) - similarity)
+        assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.04
     assert minhash.sketch_cutoff() > 0
 
 
@@ -91,6 +118,17 @@ def test_vectors(spark, scratch, vectors):
     assert found == plain_links(vectors)
 
 
+def test_odd_vectors(spark, scratch):
+    """Repeated ids, missing ids, and other columns of clashing names."""
+    a, near, far = [1.0, 0.0, 0.0, 0.2], [1.0, 0.1, 0.0, 0.2], [0.0, 0.0, 5.0, 0.0]
+    rows = [(1, a), (1, a), (2, near), (None, [2.0, 0.0, 0.0, 0.4]), (4, far), (4, a), (None, [0.0, 3.0, 0.0, 0.0]), (None, None), (None, None), (8, None), (8, [])]
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "vec_id int, embedding array<double>, key string, component string, number string")
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in cap_filters.near_duplicates(df, scratch).collect()), key=str)
+    # 1 and 4 have one vector, near it are 2 and the row without an id
+    expected = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (4, 0, 4, True), (4, 3, 1, False), (None, 0, None, True), (None, 0, None, True), (None, 0, None, True), (8, 0, 8, True), (8, 0, 8, True)]
+    assert found == sorted(expected, key=str)
+
+
 def test_crowded_filters_in_blocks(spark, scratch, vectors, monkeypatch):
     monkeypatch.setattr(cap_filters, "BLOCK", 16)
     df = spark.createDataFrame(sorted(vectors.items()), "vec_id long, embedding array<double>")
@@ -115,7 +153,7 @@ def test_recall_of_filters(vectors):
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(left, right)]) > 0.995
 
 
-@pytest.mark.parametrize(("vectors", "dimension"), [(1 << 20, 64), (1 << 24, 64), (1 << 27, 64), (1 << 14, 3), (1 << 20, 4), (1 << 20, 8), (1 << 24, 16), (1 << 24, 384)])
+@pytest.mark.parametrize(("vectors", "dimension"), [(1 << n, d) for n in (20, 24, 30) for d in (16, 32, 64, 384, 768)] + [(1 << 14, 3), (1 << 20, 4), (1 << 20, 8), (1 << 34, 64)])
 def test_recall_at_any_size_and_dimension(vectors, dimension):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, dimension))
@@ -124,6 +162,7 @@ def test_recall_at_any_size_and_dimension(vectors, dimension):
     y -= (x * y).sum(1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     plan = cap_filters.plan(vectors, dimension=dimension)
+    assert plan[3] * plan[2] ** plan[1] < 1 << 63
     left, right = cap_filters.all_filters(x, *plan), cap_filters.all_filters(0.9 * x + math.sqrt(1 - 0.81) * y, *plan)
     shared = np.array([len(np.intersect1d(a, b)) for a, b in zip(left, right)])
     assert np.mean(shared > 0) > 0.995

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.plain import base_counts, near_duplicates, ngram_scores
+from tests.llm.plain import base_counts, best_fit, near_duplicates, ngram_scores
 from tests.oracle import SMALL, connect, spark_rows, sql_rows
-from trawl.llm import line_crf, ngram_lm, packing, preferences, registry, weak_quality
+from trawl.llm import line_crf, ngram_lm, preferences, registry, weak_quality
 
 
 @pytest.fixture(scope="module")
@@ -209,7 +209,7 @@ def test_pipeline(spark, tmp_path):
         if name == "packing":
             rows = out.collect()
             assert {r["doc_id"] for r in rows} == set(texts)
-            assert len({r["sequence_id"] for r in rows}) == packing.plain_best_fit([r["length"] for r in rows])
+            assert len({r["sequence_id"] for r in rows}) == best_fit([r["length"] for r in rows])
             continue
         assert out.columns == columns
         out.write.parquet(str(tmp_path / str(number)))

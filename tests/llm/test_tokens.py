@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.llm.plain import jump
+from tests.llm.plain import best_fit, jump
 from trawl.llm import bpe, chunks, orc_tokens, packing, sharding
 
 
@@ -191,7 +191,7 @@ def test_packing(odd, texts, scratch):
             assert offset == end
             end += length
         assert end <= 4096
-    assert len(bins) == packing.plain_best_fit([r["length"] for r in rows])
+    assert len(bins) == best_fit([r["length"] for r in rows])
 
 
 def test_packing_of_nothing(empty, scratch):
@@ -218,7 +218,7 @@ def test_histogram_packing_is_best_fit_decreasing():
                 assert offset == end
                 end += length
             assert end <= capacity
-        assert len(filled) == packing.plain_best_fit(lengths, capacity)
+        assert len(filled) == best_fit(lengths, capacity)
     with pytest.raises(ValueError):
         packing.pack_histogram({5000: 1})
 

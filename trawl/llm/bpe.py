@@ -335,7 +335,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 decoded_sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -350,7 +350,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids = pa.array([x for x, _ in tokens.encode(texts[part])], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(ids)), ids], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 

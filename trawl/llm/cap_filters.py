@@ -14,8 +14,9 @@ on with its multiplicity. A crowded filter is compared in blocks of bounded size
 each vector and a spanning forest of the links, never all pairs.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite components are linked with nothing; vectors of
-different dimensions are not compared; rows with equal ids are one vector; a row without an id takes its class's component; an
-empty table gives an empty result; other columns are ignored.
+different dimensions are not compared; rows with equal ids and equal vectors are one vector, with different vectors several; each row
+without an id is a vector of its own, linked and counted like others; component_id is null where no vector of the component has an
+id, and such rows are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SIMILARITY = 0.9
 CROWD, SHARED = 64.0, 36.0
 #: Independent codes; a vector that few filters of one code pass has others.
 CODES = 12
+#: Directions in the codebook of a part, at most.
+MOST_DIRECTIONS = 1 << 16
 #: Filters that a vector passes at most, on average.
 PASSES = 256.0
 #: Neighbouring filters that share the rows of one family, at most.
@@ -87,9 +90,10 @@ def plan(vectors: int, similarity: float = SIMILARITY, dimension: int = 64) -> t
         least, both = law(share)
         if SHARED * share * share >= both:
             return everything
-    filters = SHARED / CODES / both
-    parts = 2 if filters <= 1 << 26 else 3 if filters <= 1 << 36 else 4
-    return least * math.sqrt(dimension), parts, math.ceil(filters ** (1 / parts)), CODES
+    filters, codes, parts = SHARED / CODES / both, CODES, 2
+    while filters ** (1 / parts) > MOST_DIRECTIONS:  # filters of more parts are less independent of each other, so more codes
+        filters, codes, parts = filters / 2, codes * 2, parts + 1
+    return least * math.sqrt(dimension), parts, math.ceil(filters ** (1 / parts)), codes
 
 
 class ProductCode:
@@ -266,9 +270,17 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, similarity: float = SI
     """One row per vector: vec_id, n_links, component_id, kept."""
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     keyed = scratch.table(vectors.mapInArrow(_keys, "vec_id long, key binary, raw binary"), "keyed")
-    classes = scratch.table(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "classes")
-    reps = keyed.filter("raw is not null").join(classes.select(F.col("rep").alias("vec_id"), "many", F.col("key").alias("class")), "vec_id").filter("key = class")
-    reps = scratch.table(reps.select("vec_id", "many", "raw").distinct(), "reps")
+    once = keyed.groupBy("key", "vec_id").agg(F.count("*").alias("rows"))
+    odd = scratch.table(once.groupBy("vec_id").agg(F.count("*").alias("several")).filter("vec_id is null or several > 1").select("vec_id"), "odd")
+    any_odd = not odd.isEmpty()
+    classes = once.groupBy("key").agg(F.min("vec_id").alias("rep"), F.sum(F.when(F.col("vec_id").isNull(), F.col("rows")).otherwise(1)).alias("many"))
+    number = F.col("rep")
+    if any_odd:  # the smallest id is none or that of several classes: the vector tells the class
+        classes = classes.join(odd.select(F.col("vec_id").alias("rep"), F.lit(True).alias("odd")), "rep", "left")
+        number = F.when(F.col("rep").isNull() | F.col("odd"), F.xxhash64("key")).otherwise(F.col("rep"))
+    classes = scratch.table(classes.select("key", "rep", "many", number.alias("number")), "classes")
+    reps = keyed.filter("raw is not null").groupBy("key").agg(F.first("raw").alias("raw")).join(classes, "key")
+    reps = scratch.table(reps.select(F.col("number").alias("vec_id"), "many", "raw"), "reps")
     sizes = reps.groupBy((F.octet_length("raw") / 8).cast("int").alias("dimension")).agg(F.count("*").alias("size")).collect()
     plans = {r["dimension"]: plan(1 << math.ceil(math.log2(max(2, r["size"]))), similarity, r["dimension"]) for r in sizes}
     wide = any(many * directions**parts >= 1 << 31 for _, parts, directions, many in plans.values())
@@ -284,14 +296,28 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, similarity: float = SI
     links = scratch.table(links, "links")
     scratch.drop("passing", "reps")
 
-    counts = links.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
-    found = components(links.filter("v is not null").select("u", "v"), scratch, "component").withColumnRenamed("node", "rep")
-    result = keyed.select("vec_id", "key", F.col("raw").isNotNull().alias("valid")).join(classes, "key").join(counts, "rep", "left").join(found, "rep", "left")
-    component = F.coalesce("component", "rep")
+    counts = links.filter("v is null").groupBy(F.col("u").alias("number")).agg(F.sum("n").alias("links"))
+    found = components(links.filter("v is not null").select("u", "v"), scratch, "component").withColumnRenamed("node", "number")
+    if any_odd:
+        found = found.join(found.join(classes, "number").groupBy("component").agg(F.min("rep").alias("first")), "component")
+    else:
+        found = found.withColumn("first", F.col("component"))
+    result = keyed.select("vec_id", "key", F.col("raw").isNotNull().alias("valid")).join(classes, "key")
+    result = result.join(counts, "number", "left").join(found.select("number", "first"), "number", "left")
+    component = F.when(F.col("valid"), F.coalesce("first", "rep")).otherwise(F.col("vec_id"))
     n_links = F.when(F.col("valid"), F.coalesce("links", F.lit(0)) + F.col("many") - 1).otherwise(0)
     return result.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
+#: The same in SQL, by all pairs.
+ORACLE = f"""WITH RECURSIVE x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+  y AS (SELECT vec_id, len(e) AS d, list_transform(e, lambda z: z / sqrt(list_dot_product(e, e))) AS u FROM x WHERE list_dot_product(e, e) > 0),
+  l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM y a JOIN y b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE list_dot_product(a.u, b.u) >= {SIMILARITY}),
+  r(vec_id, other) AS (SELECT u, v FROM l UNION SELECT r.vec_id, l.v FROM r JOIN l ON l.u = r.other),
+  m AS (SELECT vec_id, min(other) AS low FROM r GROUP BY vec_id), n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)"""
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), Scratch(spark, "cap-filters"))

@@ -27,7 +27,12 @@ MEMO = 800_000
 
 
 class Memo:
-    """What has been learnt about frequent keys, in two generations: a full young one becomes the old one."""
+    """What has been learnt about frequent keys, in two generations: a full young one becomes the old one.
+
+    A worker serves one stage after the other and keeps the entries of one memo at a time, that in use.
+    """
+
+    in_use: Memo | None = None
 
     def __init__(self, learn: Callable[[list], Iterable], limit: int):
         self.learn, self.limit = learn, limit // 2
@@ -36,6 +41,10 @@ class Memo:
 
     def known(self, wanted: set) -> dict:
         """A table that holds all the keys wanted."""
+        if Memo.in_use is not self:
+            if Memo.in_use is not None:
+                Memo.in_use.young, Memo.in_use.old = {}, {}
+            Memo.in_use = self
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old, missing = self.young, self.old, []

@@ -115,8 +115,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
     only counts reach the driver.
     """
     def signature(table: DataFrame) -> tuple:
-        row = table.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1000003).cast("long"))).first()
-        return tuple(row)
+        hashed = F.xxhash64("u", "v")  # two sums over all 64 bits
+        return tuple(table.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first())
 
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     table, last, seen = scratch.table(edges, f"{name}-0"), f"{name}-0", None

@@ -18,18 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, texts_of, tune
 from .sampling import hashed_sample
-from .shingles import PLACE, mix, word_hashes
+from .shingles import PLACE, WORDS_SQL, mix, word_hashes
 
 CONTENT, BOILERPLATE = 0, 1
-#: Documents to fit on, lines of each, and rounds of fitting.
-SAMPLE, LINES, ROUNDS = 1500, 200, 60
-#: Segments that stand for a document with more lines than that.
-SEGMENTS = 4
+#: Documents to fit on at most, lines of all of them together, and rounds of fitting.
+SAMPLE, LINES, ROUNDS = 1500, 60_000, 60
 #: Share of the characters of words that content lines must hold.
 CONTENT_SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -88,14 +86,6 @@ def chain_of(lines: list[tuple[bytes, list[bytes], bool]]) -> list[tuple[int, ..
     return [features(line, words, seen, i in (0, last)) for i, (line, words, seen) in enumerate(lines)]
 
 
-def segments_of(chain: list[tuple[int, ...]]) -> list[list[tuple[int, ...]]]:
-    """The chain, or if it is longer than ``LINES`` segments spread evenly over it, from its first line to its last."""
-    if len(chain) <= LINES:
-        return [chain]
-    size = LINES // SEGMENTS
-    return [chain[at : at + size] for at in ((len(chain) - size) * k // (SEGMENTS - 1) for k in range(SEGMENTS))]
-
-
 class Field:
     """Weights of features for the two labels and of neighbouring labels."""
 
@@ -148,47 +138,66 @@ def _expected(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple
 
 def fit(chains: list[list[tuple[int, ...]]], rounds: int = ROUNDS, rate: float = 0.5, shrink: float = 0.01) -> Field:
     """Weights by gradient ascent on the conditional likelihood of the clear labels; open lines are summed over."""
-    chains = [c for c in chains if c]
+    chains = sorted((c for c in chains if c), key=len) or [[tuple(0 for _ in KINDS)]]
     weights, moves = np.zeros((WEIGHTS, 2)), np.zeros((2, 2))
-    if not chains:
-        chains = [[tuple(0 for _ in KINDS)]]
+    groups = [_padded(group) for group in _alike_long(chains)]
+    places = sum(map(len, chains))
+    squares = [np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)]
+    for _ in range(rounds):
+        slope, turn = np.zeros_like(weights), np.zeros_like(moves)
+        for found, barred, lengths in groups:
+            emit = weights[found].sum(axis=2)
+            free, free_moves = _expected(emit, moves, lengths)
+            held, held_moves = _expected(emit + barred, moves, lengths)
+            change, flat = (held - free) / places, found.reshape(-1)
+            for label in (CONTENT, BOILERPLATE):
+                slope[:, label] += np.bincount(flat, np.repeat(change[:, :, label].reshape(-1), len(KINDS)), minlength=WEIGHTS)
+            turn += (held_moves - free_moves) / places
+        for target, gradient, square in ((weights, slope - shrink * weights / len(KINDS), squares[0]), (moves, turn - shrink * moves, squares[1])):
+            square += gradient**2
+            target += rate * gradient / np.sqrt(square)
+    return Field(weights, moves)
+
+
+def _alike_long(chains: list[list[tuple[int, ...]]]) -> Iterator[list[list[tuple[int, ...]]]]:
+    """Chains in the order of their lengths in groups that padding makes at most half as long again."""
+    start = 0
+    for i in range(1, len(chains) + 1):
+        if i == len(chains) or len(chains[i]) > 1.5 * len(chains[start]):
+            yield chains[start:i]
+            start = i
+
+
+def _padded(chains: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the features of every line, what clear labels bar, and lengths."""
     lengths = np.array([len(c) for c in chains])
     found = np.zeros((len(chains), lengths.max(), len(KINDS)), dtype=np.int64)
     labels = np.full(found.shape[:2], -1)
     for i, chain in enumerate(chains):
         found[i, : len(chain)] = np.array(chain)
         labels[i, : len(chain)] = [clear_label(f) for f in chain]
-    found += FIRST
     barred = np.zeros((*labels.shape, 2))
     barred[labels == CONTENT, BOILERPLATE] = barred[labels == BOILERPLATE, CONTENT] = -1e9
-    places = lengths.sum()
-    squares = [np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)]
-    for _ in range(rounds):
-        emit = weights[found].sum(axis=2)
-        free, free_moves = _expected(emit, moves, lengths)
-        held, held_moves = _expected(emit + barred, moves, lengths)
-        change = (held - free) / places
-        slope = np.zeros_like(weights)
-        for k in range(len(KINDS)):
-            np.add.at(slope, found[:, :, k], change)
-        for target, gradient, square in ((weights, slope - shrink * weights / len(KINDS), squares[0]), (moves, (held_moves - free_moves) / places - shrink * moves, squares[1])):
-            square += gradient**2
-            target += rate * gradient / np.sqrt(square)
-    return Field(weights, moves)
+    return found + FIRST, barred, lengths
+
 
+def train(docs: DataFrame, sample: int = SAMPLE, lines: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """Fit on whole documents, at most ``sample`` of them with at most ``lines`` lines together; only their features reach the driver.
 
-def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Fit on at most ``sample`` documents and ``LINES`` lines spread over each; only their features reach the driver."""
+    Documents are taken in the order of their hashes until they have that many lines; longer ones than that are passed over.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = [[v for f in segment for v in map(int, f)] for t in texts_of(batch.column("text")) for segment in segments_of(chain_of(lines_of(t)))]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.list_(pa.int8()))], ["chain"])
+            chains = [chain_of(lines_of(t)) for t in texts_of(batch.column("text"))]
+            flat = [[v for f in chain for v in map(int, f)] if len(chain) <= lines else [] for chain in chains]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flat, pa.list_(pa.int8()))], ["doc_id", "chain"])
 
-    chosen = hashed_sample(docs, sample, id_col).select(F.col(text_col).alias("text"))
-    rows = sorted(tuple(r["chain"]) for r in chosen.mapInArrow(extract, "chain array<byte>").collect())
     wide = len(KINDS)
-    return fit([[row[i : i + wide] for i in range(0, len(row), wide)] for row in rows])
+    rows = hashed_sample(docs, sample, id_col, text_col).mapInArrow(extract, "doc_id long, chain array<byte>").withColumn("n", F.size("chain") / wide)
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of at most `sample` rows
+    chosen = sorted(tuple(r["chain"]) for r in rows.withColumn("upto", F.sum("n").over(before)).filter(F.col("upto") <= lines).collect())
+    return fit([[row[i : i + wide] for i in range(0, len(row), wide)] for row in chosen])
 
 
 def base_counts(text: bytes, lines: list[tuple[bytes, list[bytes], bool]]) -> tuple[int, int, int, int, int]:
@@ -237,7 +246,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 values = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in values[:5]), *(pa.array(v, pa.bool_()) for v in values[5:7]), pa.array(values[7], pa.float64())], ["doc_id", *COLUMNS])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
 
 
@@ -253,6 +262,23 @@ def keep(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+#: The base counts in SQL.
+BASE_ORACLE = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS l FROM documents),
+  t AS (SELECT doc_id, i, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM w)),
+  g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM t) WHERE n > 1),
+  c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g) GROUP BY doc_id),
+  o AS (SELECT doc_id, len(l) AS n_words, length(array_to_string(l, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM o LEFT JOIN c USING (doc_id)"""
+
+
+def line_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op3_line_rules`` that no fit enters, on its own so that SQL can check it."""
+    tune(spark)
+    untrained = Field(np.zeros((WEIGHTS, 2)), np.zeros((2, 2)))
+    return judge(read_table(spark, sf_dir, "documents"), untrained).drop("kept", "content_share")
+
+
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = read_table(spark, sf_dir, "documents")

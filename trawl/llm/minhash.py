@@ -10,9 +10,9 @@ bucket's smallest member, unless their sizes rule it out. Only where that leaves
 close across components: chains of them make families, and a family's members are compared on their full sets in blocks of
 bounded size. What leaves a block are stars with the same components as the links, never all pairs. A pair with similarity 0.75 misses all bands with probability 5e-6.
 
-Defined results: a text without words is linked with nothing; rows with the same id are one document; a row without an id takes
-the component of its set and is kept if no row with an id has that set; an empty table gives an empty result; other columns are
-ignored.
+Defined results: a text without words is linked with nothing; rows with equal ids are one document, linked by any of their texts; a
+row without an id takes part like others, gets the component of its text and is kept if no row with an id is in it; component_id
+is null where no row of the component has an id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,20 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import Scratch, components, read_table, texts_of, tune
-from .shingles import mix, shingle_set
+from .shingles import LOWERED_SQL, WIDTH, mix, shingle_set
 
 SIMILARITY = 75  # percent
 BANDS, ROWS = 32, 4
 SAMPLES = 2 * BANDS * ROWS
 BITS = 2048
-#: Members of a bucket compared with each other in one block.
-BLOCK = 256
-#: Ids that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Members of a bucket or family, and bytes of a family's texts, in one block; two blocks at a time are compared.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Keys that a broadcast may hold; more are joined by a shuffle, in which the rows of a key are dealt to this many tasks.
+BROADCAST_IDS, DEALT = 500_000, 64
 
 _rng = np.random.default_rng(7)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +71,6 @@ def sketch_cutoff(similarity: float = SIMILARITY / 100, deviations: float = 4.5)
     return math.ceil(BITS / 2 * (1 - left) + deviations * spread)
 
 
-def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The odd sketch's estimate of the similarity of two sets."""
-    share = min(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) / BITS, 0.4999)
-    return 1 + BITS / (4 * SAMPLES) * math.log(1 - 2 * share)
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return len(a) > 0 and len(b) > 0 and 100 * common >= percent * (len(a) + len(b) - common)
@@ -93,7 +88,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 banded.append(bands(sampled))
                 sketched.append(odd_sketch(sampled))
             else:
-                keys.append(b"no words " + str(doc_id).encode())
+                keys.append(set_key(None, doc_id))
                 banded.append(np.empty(0, dtype=np.int64))
                 sketched.append(np.empty(0, dtype=np.int64))
         if ids:
@@ -191,25 +186,33 @@ def _within(cutoff: int):
     return links
 
 
-def _in_blocks(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows of each key dealt into blocks, and every pair of blocks as a group (key, low, high); ``sizes`` has key and size."""
-    sizes = sizes.select(key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+def _with(rows: DataFrame, small: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """Rows joined with a table of one row a key: broadcast if it is small enough, else dealt so that no key is one task."""
+    small = scratch.table(small, name)
+    if small.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(small), key)
+    repeated = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    return rows.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")).join(repeated, [key, "_deal"]).drop("_deal")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows dealt into their key's ``blocks``, and every pair of blocks as a group (key, low, high)."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Texts of the documents in ``ids(doc_id)``, by a broadcast of the ids where they are few enough."""
+def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Texts of the classes in ``ids(doc_id)``, by a broadcast of the ids where they are few enough."""
     ids = scratch.table(ids.distinct(), f"{name}-ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    return scratch.table(texts, f"{name}-texts")
+    found = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return scratch.table(found, f"{name}-texts")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Enough of the written ``pairs(u, v)`` with similar texts to link all that such pairs link."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
-    texts = _texts_of(ids, docs, scratch, name)
+    texts = _texts_of(ids, texts, scratch, name)
     both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     both = both.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     found = both.select("u", "v", F.encode("text_u", "UTF-8").alias("text_u"), F.encode("text_v", "UTF-8").alias("text_v")).mapInArrow(_verified, "u long, v long")
@@ -218,13 +221,48 @@ def _confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) ->
     return found
 
 
+def set_key(text: bytes | None, doc_id: object) -> bytes:
+    """The same for texts with equal sets of shingles; a text without words has one for its id."""
+    shingles = shingle_set(text or b"")
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b"no words " + str(doc_id).encode()
+
+
+def with_set_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "set_key") -> DataFrame:
+    """The rows with `set_key` as one more column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(t, i) for t, i in zip(texts_of(batch.column(text_col)), batch.column(id_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+
+
+def _class_texts(docs: DataFrame, members: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """A text of each class, under the class's number: its document's, or if that has no id or several rows, one by the set."""
+    if odd is None:
+        return docs
+    plain = docs.filter("doc_id is not null").join(odd, "doc_id", "left_anti")
+    keyed = with_set_key(docs.filter("doc_id is null").unionByName(docs.join(odd, "doc_id", "left_semi")), name="key")
+    found = keyed.groupBy("key").agg(F.min("text").alias("text")).join(members.filter("by_set").select("key", "doc_id"), "key")
+    return plain.unionByName(found.select("doc_id", "text"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """One row per document: doc_id, n_shingles, component_id, kept; set_key tells equal sets, component_no equal components."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = scratch.table(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "prints")
-    classes = scratch.table(prints.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    members = prints.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = scratch.table(members.select("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch"), "members")
+    odd = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select("doc_id")
+    odd = scratch.table(odd, "odd")  # documents without an id or in several rows; none in most tables
+    odd = None if odd.isEmpty() else odd
+    classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    by_set = F.lit(False)
+    if odd is not None:
+        classes = classes.join(odd.select(F.col("doc_id").alias("rep"), F.lit(True).alias("odd")), "rep", "left")
+        by_set = F.coalesce("odd", F.col("rep").isNull())
+    number = F.when(by_set, F.xxhash64("key")).otherwise(F.col("rep"))
+    members = scratch.table(classes.select(number.alias("doc_id"), "key", "rep", by_set.alias("by_set"), "n", "bands", "sketch"), "members")
+    texts = _class_texts(docs, members, odd)
 
     buckets = members.select("doc_id", "n", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.min_by("n", "doc_id").alias("n_u"), F.count("*").alias("size")).filter("size > 1")
@@ -237,31 +275,83 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     star = star.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("sketch_u")), "u")
     differing = sum((F.bit_count(F.col("sketch_u")[i].bitwiseXOR(F.col("sketch_v")[i])) for i in range(BITS // 64)), F.lit(0))
     star = scratch.table(star.filter(differing <= cutoff).select("u", "v"), "star")
-    edges = _confirm(star, docs, scratch, "near")
+    edges = _confirm(star, texts, scratch, "near")
+    if odd is not None:  # the texts of one document
+        rows = prints.join(odd, "doc_id", "left_semi").select("doc_id", "key").distinct().join(members.select("key", F.col("doc_id").alias("v")), "key")
+        edges = edges.unionByName(rows.join(rows.groupBy("doc_id").agg(F.min("v").alias("u")), "doc_id").select("u", "v"))
     found = components(edges, scratch, "component")
 
     placed = crowded.filter("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a <> b")
-    rows = _in_blocks(placed, "bucket", mixed).join(sketches, "doc_id")
+    placed = scratch.table(placed.select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    rows = _with(placed, mixed, "bucket", scratch, "mixed").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
+    rows = _in_blocks(rows).join(sketches, "doc_id")
     across = rows.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long")
     across = scratch.table(across, "across")
     if not across.isEmpty():
         families = components(across, scratch, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-        texts = _texts_of(families.select("doc_id"), docs, scratch, "family")
+        shown = _texts_of(families.select("doc_id"), texts, scratch, "family")
         placed = families.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rows = _in_blocks(placed, "family", families.groupBy("family").agg(F.count("*").alias("size"))).join(sketches, "doc_id").join(texts, "doc_id")
+        placed = placed.join(sketches, "doc_id").join(shown, "doc_id")
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+        rows = _in_blocks(_with(placed, placed.groupBy("family").agg(blocks.alias("blocks")), "family", scratch, "family-blocks"))
         within = scratch.table(rows.groupBy("family", "low", "high").applyInArrow(_within(cutoff), "u long, v long"), "within")
         edges = edges.unionByName(within)
         found = components(edges, scratch, "component-2")
-        scratch.drop("families", "family-ids", "family-texts", "within", "component")
-    scratch.drop("members", "crowded", "star", "near-found", "across")
-
-    result = prints.select("doc_id", "n_shingles", "key").join(classes, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+        scratch.drop("families", "family-ids", "family-texts", "family-blocks", "within", "component")
+    scratch.drop("crowded", "placed", "mixed", "star", "near-found", "across")
+
+    if odd is not None:
+        named = found.join(members.select(F.col("doc_id").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
+        found = found.join(named, "component")
+    else:
+        found = found.withColumn("first", F.col("component"))
+    found = found.select(F.col("node").alias("number"), "component", "first")
+    classes = members.select("key", "rep", F.col("doc_id").alias("number")).join(found, "number", "left")
+    result = prints.select("doc_id", "n_shingles", "key").join(classes, "key")
+    component = F.coalesce("first", "rep")
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("key").alias("set_key"), F.coalesce("component", "number").alias("component_no"))
+
+
+def survivors(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns that stay: one of each component.
+
+    That is a row of the document with the smallest id; of several rows of that document, the first by text and other columns
+    stays. Where no row has an id, the first by text stays. Rows without id and words all stay.
+    """
+    found = scratch.table(near_duplicates(docs, scratch, id_col, text_col), "found")
+    dropped = scratch.table(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    identity = F.col(id_col).cast("long") == F.col("_id")
+    rows = docs.join(F.broadcast(dropped) if few else dropped, identity, "left_anti")
+    odd = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("_id")), "several")
+    if odd.isEmpty():
+        return rows
+    order = [F.col(text_col), F.xxhash64(*docs.columns)]
+    several = rows.join(odd, identity, "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
+    unnamed = with_set_key(docs.filter(F.col(id_col).isNull()), id_col, text_col, "_key")
+    decided = found.filter("doc_id is null").select(F.col("set_key").alias("_key"), F.col("n_shingles").alias("_n"), F.col("kept").alias("_kept"), F.col("component_no").alias("_no")).distinct()
+    unnamed = unnamed.join(decided, "_key").filter("_kept")
+    first = F.row_number().over(Window.partitionBy("_no").orderBy(*order))
+    unnamed = unnamed.withColumn("_row", F.when(F.col("_n") == 0, 1).otherwise(first))
+    plain = rows.filter(F.col(id_col).isNotNull()).join(odd, identity, "left_anti")
+    return plain.unionByName(several.filter("_row = 1").select(*docs.columns)).unionByName(unnamed.filter("_row = 1").select(*docs.columns))
+
+
+#: The same in SQL, by all pairs that share a shingle.
+ORACLE = f"""WITH RECURSIVE w AS (SELECT doc_id, {LOWERED_SQL} AS l FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < {WIDTH} THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - {WIDTH - 2}), lambda i: array_to_string(l[i:i + {WIDTH - 1}], ' ')) END) AS sh FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= {SIMILARITY} * (x.n + y.n - c)),
+  b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+  r(doc_id, other) AS (SELECT u, v FROM b UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.other),
+  m AS (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "near-dedup"))
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "near-dedup"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

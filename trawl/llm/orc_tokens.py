@@ -62,7 +62,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int = END_ID, partiti
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(raw), file, dtype=np.int32)), pa.array(cuts[:-1] + start), pa.array(lengths), ids], ["doc_id", "file", "local_start", "n_tokens", "ids"])
                 start += int(cuts[-1])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / partitions for i in range(1, partitions)], 0.1 / partitions))) if partitions > 1 else []  # reads ids alone
     rows = rows.repartitionById(partitions, _range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**OPTIONS).orc(target)

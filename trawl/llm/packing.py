@@ -14,7 +14,6 @@ get a place; null document ids are kept; an empty table gives an empty result; o
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -146,7 +145,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0])), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return rows.withColumn("part", F.spark_partition_id())
 
@@ -176,16 +175,6 @@ def pack_documents(docs: DataFrame, scratch: Scratch, path: str | None = None) -
     return pack(scratch.table(pieces(docs, path), "pieces"))
 
 
-def plain_best_fit(lengths: list[int], capacity: int = CAPACITY) -> int:
-    """Number of sequences that best-fit decreasing needs, piece by piece; for tests."""
-    rooms: list[int] = []
-    for n in sorted(lengths, reverse=True):
-        at = bisect_left(rooms, n)
-        room = rooms.pop(at) if at < len(rooms) else capacity
-        rooms.insert(bisect_left(rooms, room - n), room - n)
-    return len(rooms)
-
-
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return pack_documents(read_table(spark, sf_dir, "documents"), Scratch(spark, "packing"))

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .minhash import ORACLE as NEAR_SQL
 from .minhash import op1_near_dedup
 from .ngram_lm import op8_ngram_lm
 from .orc_tokens import op5_orc_tokens
+from .cap_filters import ORACLE as CAPS_SQL
 from .cap_filters import op6_embedding_dedup
-from .line_crf import op3_line_rules
+from .line_crf import BASE_ORACLE, line_base_counts, op3_line_rules
 from .packing import op9_packing
 from .preferences import ORACLE as PREFERENCES_SQL
 from .preferences import op7_preferences
+from .sharding import ORACLE as SHARDING_SQL
 from .sharding import op10_sharding
 from .weak_quality import op2_quality
 
@@ -33,8 +36,15 @@ def queries() -> dict[str, Query]:
         "op8_ngram_lm": op8_ngram_lm,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "line_base_counts": line_base_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preferences": PREFERENCES_SQL}
+    return {
+        "op1_near_dedup": NEAR_SQL,
+        "op6_embedding_dedup": CAPS_SQL,
+        "op7_preferences": PREFERENCES_SQL,
+        "op10_sharding": SHARDING_SQL,
+        "line_base_counts": BASE_ORACLE,
+    }

@@ -8,6 +8,9 @@ import xxhash
 from .chunks import Memo
 
 WIDTH = 5
+#: The words of a text in SQL, with A-Z in lower case or as they are.
+WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+LOWERED_SQL = WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 _rng = np.random.default_rng(20240501)
 #: One odd multiplier for each place in a shingle, and one for the number of words.
 PLACE = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -224,10 +224,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             ids, codes, places, values = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "code", "places", "values"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = texts.select("text").mapInArrow(patterns, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     model = LabelModel({r["code"]: r["n"] for r in counted.collect()})  # at most 3 ** len(LABELLERS) rows
-    rows = hashed_sample(texts, sample).mapInArrow(extract, "doc_id long, code int, places array<int>, values array<double>").collect()
+    rows = hashed_sample(docs, sample, id_col, text_col).mapInArrow(extract, "doc_id long, code int, places array<int>, values array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["code"], len(r["places"])))
     return model, fit_scorer([(r["places"], r["values"]) for r in rows], np.array([model.probability(r["code"]) for r in rows]))
 
@@ -240,7 +240,7 @@ def judge(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, id_col:
             scores = [scorer.score(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], ["doc_id", "score", "kept"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, kept boolean")
 
 
