@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs`` wit
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trawl.llm import line_crf, minhash, packing, weak_quality
 from trawl.llm.common import Scratch, read_table, tune
@@ -25,14 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest id, in one row."""
     tune(spark)
-    scratch = Scratch(spark, "pipeline-near-dedup")
-    found = minhash.near_duplicates(docs, scratch)
-    dropped = scratch.table(found.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    if dropped.count() <= minhash.BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return minhash.survivors(docs, Scratch(spark, "pipeline-near-dedup"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
