@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.plain import components, near_duplicates
-from trawl.llm import cap_filters, minhash
+from trawl.llm import cap_filters, common, minhash
 from trawl.llm.common import components as spark_components
 
 
@@ -41,7 +41,7 @@ def test_repeated_and_missing_ids(spark, scratch):
 
 
 def test_blocks_change_nothing(docs, scratch, texts, monkeypatch):
-    for name, value in (("BLOCK", 5), ("BLOCK_BYTES", 3000), ("BROADCAST_IDS", 1)):
+    for name, value in (("BLOCK", 5), ("LEAST_BLOCK", 3), ("BLOCK_BYTES", 3000), ("BROADCAST_KEYS", 1)):
         monkeypatch.setattr(minhash, name, value)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, scratch).collect()}
     assert found == near_duplicates(texts)
@@ -83,7 +83,9 @@ def test_bands_miss_no_pair_at_the_threshold():
     assert missed == 0
 
 
-def test_components(spark, scratch):
+@pytest.mark.parametrize("most", [common.BROADCAST_KEYS, 3])
+def test_components(spark, scratch, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(400, 440)] + [(500, 500 + i) for i in range(1, 80)]
     nodes = {x for e in edges if e[0] != e[1] for x in e}

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of Arrow data handed to a Python worker at once.
 BATCH_BYTES = 32 << 20
+#: Keys that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: Spark's own setting: remove an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -111,24 +113,30 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
     """Connected components of ``edges(u, v)`` as a written table ``(node, component)``, the component being its smallest node.
 
     Alternates large-star and small-star steps: each hangs a node's neighbours onto the smallest of them, with a minimum per
-    node (combined before the shuffle) and a join that can be split where one node has most edges. Every step is written, and
-    only counts reach the driver.
+    node (combined before the shuffle) and a join. The minima are broadcast while there are few edges; beyond that they are
+    written, so that both sides of the join are plain shuffles, which Spark splits where one node has most edges. Every step is
+    written, and only counts reach the driver.
     """
     def signature(table: DataFrame) -> tuple:
         hashed = F.xxhash64("u", "v")  # two sums over all 64 bits
         return tuple(table.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first())
 
+    def hung(rows: DataFrame, lowest: DataFrame, at: str) -> DataFrame:
+        if 2 * seen[0] <= BROADCAST_KEYS:
+            return rows.join(F.broadcast(lowest), "u")
+        return rows.join(scratch.table(lowest, f"{name}-{at}"), "u")
+
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    table, last, seen = scratch.table(edges, f"{name}-0"), f"{name}-0", None
+    table, last = scratch.table(edges, f"{name}-0"), f"{name}-0"
+    seen = signature(table)
     for step in range(1, limit + 1):
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         larger = table.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each node's neighbours above it
-        large = larger.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hung(larger, lowest, "large").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        table = scratch.table(small.distinct(), f"{name}-{step}")
+        small = hung(large, lowest, "small").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        table = scratch.table(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
         scratch.drop(last)
         last, now = f"{name}-{step}", signature(table)
         if now == seen:
@@ -136,6 +144,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {limit} steps")
+    scratch.drop(f"{name}-large", f"{name}-small")
     roots = table.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     settled = scratch.table(table.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), name)
     scratch.drop(last)

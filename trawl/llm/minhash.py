@@ -23,21 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import Scratch, components, read_table, texts_of, tune
+from .common import BROADCAST_KEYS, Scratch, components, read_table, texts_of, tune
 from .shingles import LOWERED_SQL, WIDTH, mix, shingle_set
 
 SIMILARITY = 75  # percent
 BANDS, ROWS = 32, 4
 SAMPLES = 2 * BANDS * ROWS
 BITS = 2048
-#: Members of a bucket or family, and bytes of a family's texts, in one block; two blocks at a time are compared.
-BLOCK, BLOCK_BYTES = 2048, 4 << 20
-#: Keys that a broadcast may hold; more are joined by a shuffle, in which the rows of a key are dealt to this many tasks.
-BROADCAST_IDS, DEALT = 500_000, 64
+#: Members of a bucket or family in one block at least and at most, blocks in between, and bytes of a family's texts in a block.
+LEAST_BLOCK, BLOCK, BLOCKS, BLOCK_BYTES = 256, 2048, 8, 4 << 20
+#: Tasks to which a shuffle deals the rows of a key where its other side has too many keys for a broadcast.
+DEALT = 64
 
 _rng = np.random.default_rng(7)
 _odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,12 +189,17 @@ def _within(cutoff: int):
 def _with(rows: DataFrame, small: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
     """Rows joined with a table of one row a key: broadcast if it is small enough, else dealt so that no key is one task."""
     small = scratch.table(small, name)
-    if small.count() <= BROADCAST_IDS:
+    if small.count() <= BROADCAST_KEYS:
         return rows.join(F.broadcast(small), key)
     repeated = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     return rows.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")).join(repeated, [key, "_deal"]).drop("_deal")
 
 
+def _blocks(size: Column) -> Column:
+    """Number of blocks for so many members: enough to share the work, few enough that a member isn't copied too often."""
+    return F.ceil(size / F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), size / BLOCKS))).cast("int")
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Rows dealt into their key's ``blocks``, and every pair of blocks as a group (key, low, high)."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -205,7 +210,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Texts of the classes in ``ids(doc_id)``, by a broadcast of the ids where they are few enough."""
     ids = scratch.table(ids.distinct(), f"{name}-ids")
-    found = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    found = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "doc_id", "left_semi")
     return scratch.table(found, f"{name}-texts")
 
 
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     placed = crowded.filter("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = scratch.table(placed.select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    rows = _with(placed, mixed, "bucket", scratch, "mixed").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
+    rows = _with(placed, mixed, "bucket", scratch, "mixed").withColumn("blocks", _blocks(F.col("size"))).drop("size")
     rows = _in_blocks(rows).join(sketches, "doc_id")
     across = rows.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long")
     across = scratch.table(across, "across")
@@ -293,7 +298,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         shown = _texts_of(families.select("doc_id"), texts, scratch, "family")
         placed = families.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         placed = placed.join(sketches, "doc_id").join(shown, "doc_id")
-        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
+        blocks = F.greatest(_blocks(F.count("*")), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
         rows = _in_blocks(_with(placed, placed.groupBy("family").agg(blocks.alias("blocks")), "family", scratch, "family-blocks"))
         within = scratch.table(rows.groupBy("family", "low", "high").applyInArrow(_within(cutoff), "u long, v long"), "within")
         edges = edges.unionByName(within)
@@ -322,7 +327,7 @@ def survivors(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     """
     found = scratch.table(near_duplicates(docs, scratch, id_col, text_col), "found")
     dropped = scratch.table(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_IDS
+    few = dropped.count() <= BROADCAST_KEYS
     identity = F.col(id_col).cast("long") == F.col("_id")
     rows = docs.join(F.broadcast(dropped) if few else dropped, identity, "left_anti")
     odd = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("_id")), "several")
