@@ -42,8 +42,7 @@ class Memo:
     def known(self, wanted: set) -> dict:
         """A table that holds all the keys wanted."""
         if Memo.in_use is not self:
-            if Memo.in_use is not None:
-                Memo.in_use.young, Memo.in_use.old = {}, {}
+            release()
             Memo.in_use = self
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
@@ -59,6 +58,13 @@ class Memo:
         return young
 
 
+def release() -> None:
+    """Drop what a stage before has left in this worker's memo."""
+    if Memo.in_use is not None:
+        Memo.in_use.young, Memo.in_use.old = {}, {}
+        Memo.in_use = None
+
+
 #: The printable character that stands for each byte in byte-level vocabularies: itself, or the next one from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: b for b in _SHOWN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}

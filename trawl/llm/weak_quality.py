@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import release
 from .common import read_table, texts_of, tune
 from .sampling import hashed_sample
 
@@ -206,6 +207,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     """The label model of all documents and the scorer fitted on at most ``sample`` of them."""
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             codes = []
             for text in texts_of(batch.column("text")):
@@ -215,6 +217,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], ["code", "n"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
@@ -236,6 +239,7 @@ def judge(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, id_col:
     """Score and verdict of every document: doc_id, score, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             scores = [scorer.score(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], ["doc_id", "score", "kept"])
@@ -248,6 +252,7 @@ def keep(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col
     """The documents that the classifier keeps, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) >= threshold for t in texts_of(batch.column(text_col))], pa.bool_()))
 
