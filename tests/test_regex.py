@@ -160,3 +160,42 @@ def test_span_functions_in_sql(spark):
     row = spark.sql("SELECT regex_match_span('abc def', '\\\\ydef\\\\y', 5, 7) a, regex_find_from('xab', 'ab', 1) b, regex_verify_windows('foo bar', 'bar', array(1, 3, 5, 7)) c, regex_match_span(NULL, 'a', 1, 1) d").first()
     assert (row["a"], list(row["b"]), row["c"], row["d"]) == (True, [2, 3], 1, None)
     assert [tuple(r) for r in spark.sql("SELECT * FROM regex_find_all('ababa', 'aba', true)").collect()] == [(1, 3), (3, 5)]
+
+
+@pytest.mark.parametrize("rest", [0, 1, 65_535, 65_536, 70_000])
+def test_spans_of_long_texts(rest):
+    """An end is tested alike whatever follows, with alternations whose preferred match ends elsewhere."""
+    text = "ab" + "x" * rest
+    assert spans.match_span(text, "a|ab", 1, 2) and spans.match_span(text, "a|ab", 1, 1) and not spans.match_span(text, "a|ab", 1, 3)
+    assert spans.find_at_upto(text, "abx+|ab|a", 1, 2) == (1, 2)
+    assert spans.match_span(text, r"ab\y", 1, 2) is (rest == 0)
+    assert spans.match_span(text, "ab$", 1, 2) is (rest == 0)
+    assert spans.match_span(text, "ab(?=x)", 1, 2) is (rest > 0)
+    assert spans.match_span(text, "ab(?!x*$)", 1, 2) is False
+    assert spans.match_span(text, "ab(?=x{3}$)", 1, 2) is (rest == 3)
+    assert spans.verify_windows(text, "a[b-z]*|ab", [2, 5, 1, 2]) == 1
+    assert spans.match_span(text.upper(), "(?i)a|ab", 1, 2)
+
+
+def test_window_ends_share_their_patterns():
+    before = spans._pinned.cache_info().misses
+    assert spans.find_at_upto("a" * 3000 + "c", "(?:aa)*b?c|a{5}", 2, 2000) == (2, 6)
+    assert spans._pinned.cache_info().misses - before <= 2
+
+
+def test_random_spans_against_all_ends():
+    rng = random.Random(5)
+    for _ in range(1500):
+        pattern, text = _random_pattern(rng), "".join(rng.choice("ab c1") for _ in range(rng.randint(0, 9)))
+        s, e = rng.randint(1, len(text) + 1), rng.randint(0, len(text))
+        if e >= s - 1:
+            expected = re.compile(f"(?:{to_python(pattern)})(?=[\\s\\S]{{{len(text) - e}}}\\Z)").match(text, s - 1) is not None
+            assert spans.match_span(text, pattern, s, e) == expected, (pattern, text, s, e)
+
+
+def test_empty_matches_and_starts_in_sql(spark):
+    spans.register(spark)
+    row = spark.sql("SELECT regex_find_from_or_empty('ab', 'x*', 2, true) a, regex_find_from('ab', 'x*', 2) b, regex_find_at_upto_or_empty('ab', 'x*', 1, 2, true) c, regex_verify_windows_or_empty('ab', 'x*', array(1, 1), true) d, regex_verify_windows('ab', 'x*', array(1, 1)) e, regex_matches('a-b', '\\\\ya\\\\y') f, regex_matches(NULL, 'a') g").first()
+    assert (list(row["a"]), row["b"], list(row["c"]), row["d"], row["e"], row["f"], row["g"]) == ([2, 1], None, [1, 0], 0, -1, True, None)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM regex_find_all('ababa', 'aba', true, 2)").collect()] == [(3, 5)]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM regex_find_all('ab', 'x*', false, 1, true)").collect()] == [(1, 0), (2, 1), (3, 2)]

@@ -8,7 +8,7 @@ the engine prefers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -17,18 +17,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .regex_dialect import to_python
+from .regex_analysis import max_length, min_length
+from .regex_ast import Alt, Cat, Edge, Group, Look, Node, Rep, parse
+from .regex_dialect import to_java, to_python
+
+
+def _source(pattern: str) -> tuple[str, int]:
+    """The pattern for Python without its flag, and the flag."""
+    source = to_python(pattern)
+    return (source[4:], re.IGNORECASE) if source.startswith("(?i)") else (source, 0)
 
 
 @lru_cache(maxsize=512)
 def compiled(pattern: str) -> re.Pattern:
-    return re.compile(to_python(pattern))
+    return re.compile(*_source(pattern))
+
+
+@lru_cache(maxsize=2048)
+def _pinned(pattern: str, context: int) -> re.Pattern:
+    """The pattern where just so many characters follow it in the part that is searched."""
+    source, flags = _source(pattern)
+    return re.compile(f"(?:{source})(?=[\\s\\S]{{{context}}}\\Z)", flags)
+
+
+def _ahead(node: Node) -> int | None:
+    """How many characters behind its end a match may look at; None without a bound."""
+    if isinstance(node, Edge):
+        return 1
+    if isinstance(node, Look):
+        sizes = [max_length(node.child) if node.ahead else 0, _ahead(node.child)]
+        return None if None in sizes else sum(sizes) + 1
+    parts = node.parts if isinstance(node, Cat | Alt) else (node.child,) if isinstance(node, Group | Rep) else ()
+    sizes = [_ahead(part) for part in parts]
+    return None if None in sizes else max(sizes, default=0)
 
 
 @lru_cache(maxsize=512)
-def _ending(pattern: str) -> re.Pattern:
-    """The pattern as a whole up to a given end: the end of the searched part."""
-    return re.compile(f"(?:{to_python(pattern)})")
+def _bounds(pattern: str) -> tuple[int | None, int, int | None]:
+    """How far the pattern looks ahead, and the lengths of its shortest and longest match."""
+    tree = parse(pattern).tree
+    return _ahead(tree), min_length(tree), max_length(tree)
 
 
 def match_span(text: str, pattern: str, s: int, e: int) -> bool:
@@ -39,9 +67,13 @@ def match_span(text: str, pattern: str, s: int, e: int) -> bool:
 
 
 def _matches_to(text: str, pattern: str, s: int, e: int) -> bool:
-    # a lookahead for the rest of the text pins the end without hiding the context to the right
+    # the searched part ends a few characters behind e, as far as the pattern can look, and the match must leave just those
+    ahead, shortest, longest = _bounds(pattern)
+    if e - s + 1 < shortest or longest is not None and e - s + 1 > longest:
+        return False
     rest = len(text) - e
-    return re.compile(f"(?:{to_python(pattern)})(?=[\\s\\S]{{{rest}}}\\Z)").match(text, s - 1) is not None if rest < 65536 else any(m.end() == e for m in [compiled(pattern).match(text, s - 1)] if m)
+    context = rest if ahead is None else min(rest, ahead)
+    return _pinned(pattern, context).match(text, s - 1, e + context) is not None
 
 
 def match_from_upto(text: str, pattern: str, s: int, e: int) -> bool:
@@ -68,7 +100,9 @@ def find_at_upto(text: str, pattern: str, s: int, e: int, allow_empty: bool = Fa
         return None
     if m.end() <= e and (allow_empty or m.end() > m.start()):
         return s, m.end()
-    for end in range(min(e, len(text)), s - 2 if allow_empty else s - 1, -1):
+    _, shortest, longest = _bounds(pattern)
+    most = e if longest is None else min(e, s - 1 + longest)
+    for end in range(most, s - 2 + max(shortest, 0 if allow_empty else 1), -1):
         if _matches_to(text, pattern, s, end):
             return s, end
     return None
@@ -105,55 +139,85 @@ def find_literal(text: str, literal: str, overlap: bool = True) -> list[int]:
     return out
 
 
-def _rows(*columns: pd.Series) -> Iterator[tuple | None]:
-    for row in zip(*columns, strict=True):
-        yield None if any(x is None or x is pd.NA or isinstance(x, float) and x != x for x in row) else row
+def _each(function: Callable, *columns: pd.Series) -> pd.Series:
+    """The function's value for each row; null where any argument is null."""
+    rows = zip(*columns, strict=True)
+    return pd.Series([None if any(x is None or x is pd.NA or isinstance(x, float) and x != x for x in row) else function(*row) for row in rows], dtype=object)
+
+
+def _listed(found: tuple[int, int] | None) -> list[int] | None:
+    return None if found is None else list(found)
 
 
 @pandas_udf(BooleanType())
 def regex_match_span(text: pd.Series, pattern: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else match_span(r[0], r[1], int(r[2]), int(r[3])) for r in _rows(text, pattern, s, e)], dtype=object)
+    return _each(lambda t, p, a, b: match_span(t, p, int(a), int(b)), text, pattern, s, e)
 
 
 @pandas_udf(BooleanType())
 def regex_match_from_upto(text: pd.Series, pattern: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else match_from_upto(r[0], r[1], int(r[2]), int(r[3])) for r in _rows(text, pattern, s, e)], dtype=object)
+    return _each(lambda t, p, a, b: match_from_upto(t, p, int(a), int(b)), text, pattern, s, e)
+
+
+@pandas_udf(BooleanType())
+def regex_matches(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    return _each(lambda t, p: compiled(p).search(t) is not None, text, pattern)
 
 
 @pandas_udf(ArrayType(IntegerType()))
 def regex_find_from(text: pd.Series, pattern: pd.Series, s: pd.Series) -> pd.Series:
-    found = [None if r is None else find_from(r[0], r[1], int(r[2])) for r in _rows(text, pattern, s)]
-    return pd.Series([None if f is None else list(f) for f in found], dtype=object)
+    return _each(lambda t, p, a: _listed(find_from(t, p, int(a))), text, pattern, s)
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def regex_find_from_or_empty(text: pd.Series, pattern: pd.Series, s: pd.Series, allow_empty: pd.Series) -> pd.Series:
+    return _each(lambda t, p, a, empty: _listed(find_from(t, p, int(a), bool(empty))), text, pattern, s, allow_empty)
 
 
 @pandas_udf(ArrayType(IntegerType()))
 def regex_find_at_upto(text: pd.Series, pattern: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
-    found = [None if r is None else find_at_upto(r[0], r[1], int(r[2]), int(r[3])) for r in _rows(text, pattern, s, e)]
-    return pd.Series([None if f is None else list(f) for f in found], dtype=object)
+    return _each(lambda t, p, a, b: _listed(find_at_upto(t, p, int(a), int(b))), text, pattern, s, e)
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def regex_find_at_upto_or_empty(text: pd.Series, pattern: pd.Series, s: pd.Series, e: pd.Series, allow_empty: pd.Series) -> pd.Series:
+    return _each(lambda t, p, a, b, empty: _listed(find_at_upto(t, p, int(a), int(b), bool(empty))), text, pattern, s, e, allow_empty)
 
 
 @pandas_udf(ArrayType(ArrayType(IntegerType())))
 def regex_find_all_array(text: pd.Series, pattern: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else [list(x) for x in find_all(r[0], r[1], overlap=bool(r[2]))] for r in _rows(text, pattern, overlap)], dtype=object)
+    return _each(lambda t, p, o: [list(x) for x in find_all(t, p, overlap=bool(o))], text, pattern, overlap)
 
 
 @pandas_udf(IntegerType())
 def regex_verify_windows(text: pd.Series, pattern: pd.Series, windows: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else verify_windows(r[0], r[1], list(r[2])) for r in ((t, p, w) if t is not None and p is not None and w is not None else None for t, p, w in zip(text, pattern, windows, strict=True))], dtype="Int64")
+    return _each(lambda t, p, w: verify_windows(t, p, list(w)), text, pattern, windows)
+
+
+@pandas_udf(IntegerType())
+def regex_verify_windows_or_empty(text: pd.Series, pattern: pd.Series, windows: pd.Series, allow_empty: pd.Series) -> pd.Series:
+    return _each(lambda t, p, w, empty: verify_windows(t, p, list(w), bool(empty)), text, pattern, windows, allow_empty)
 
 
 @udtf(returnType=StructType([StructField("s", IntegerType()), StructField("e", IntegerType())]))
 class RegexFindAll:
-    """``regex_find_all(text, pattern, overlap)`` as a table."""
+    """``regex_find_all(text, pattern, overlap, s, allow_empty)`` as a table; the last two may be left out."""
 
-    def eval(self, text: str, pattern: str, overlap: bool):
+    def eval(self, text: str, pattern: str, overlap: bool = True, s: int = 1, allow_empty: bool = False):
         if text is not None and pattern is not None:
-            yield from find_all(text, pattern, overlap=bool(overlap))
+            yield from find_all(text, pattern, int(s), bool(overlap), bool(allow_empty))
+
+
+def like(column: Column, pattern: str) -> Column:
+    """``column ~ pattern`` in the dialect, without Python."""
+    return column.rlike(to_java(pattern))
 
 
 def register(spark: SparkSession) -> None:
-    """Give SQL all span functions."""
-    for name, function in (("regex_match_span", regex_match_span), ("regex_match_from_upto", regex_match_from_upto), ("regex_find_from", regex_find_from), ("regex_find_at_upto", regex_find_at_upto), ("regex_find_all_array", regex_find_all_array), ("regex_verify_windows", regex_verify_windows)):
+    """Give SQL the dialect's match and all span functions; those that end in ``_or_empty`` also say whether matches may be empty."""
+    functions = [regex_matches, regex_match_span, regex_match_from_upto, regex_find_from, regex_find_from_or_empty, regex_find_at_upto, regex_find_at_upto_or_empty, regex_find_all_array, regex_verify_windows, regex_verify_windows_or_empty]
+    names = "regex_matches regex_match_span regex_match_from_upto regex_find_from regex_find_from_or_empty regex_find_at_upto regex_find_at_upto_or_empty regex_find_all_array regex_verify_windows regex_verify_windows_or_empty"
+    for name, function in zip(names.split(), functions, strict=True):
         spark.udf.register(name, function)
     spark.udtf.register("regex_find_all", RegexFindAll)
 
