@@ -23,29 +23,23 @@ def test_against_sql(spark, connection, name):
 
 def test_whole_tables(spark):
     count = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet").count()
-    assert QUERIES["trigram_table_whole"](spark, SMALL).count() == count("part")
-    assert QUERIES["next_id_probe_whole"](spark, SMALL).count() == count("orders")
-    for name in ("trigram_table_whole", "next_id_probe_whole", "candidate_semi_join_whole"):
+    assert QUERIES["trigram_table"](spark, SMALL).count() == count("part")
+    assert QUERIES["next_id_probe"](spark, SMALL).count() == count("orders")
+    for name in ("trigram_table", "next_id_probe", "candidate_semi_join"):
         assert "%" not in SQL[name]
+    for name in ("token_table", "span_count_overlap", "struct_token_stats", "literal_positions"):
+        assert QUERIES[name](spark, SMALL).count() == count("documents")
+        assert "lang" not in SQL[name]
 
 
-@pytest.mark.parametrize("name", ["token_table", "span_count_overlap", "struct_token_stats", "literal_positions"])
-def test_all_languages(spark, name):
-    assert QUERIES[name + "_whole"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert "lang" not in SQL[name + "_whole"]
+def test_random_samples(spark):
+    from trawl.operators import sampling
 
-
-def test_bernoulli_sample(spark):
-    assert QUERIES["bernoulli_sample"](spark, SMALL).count() < 100
-
-
-def test_jump_sample(spark):
-    ids = [r[0] for r in QUERIES["jump_sample"](spark, SMALL).collect()]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "n_chars")
+    assert 0 < sampling.bernoulli(docs, 10).count() < 100
+    ids = [r["doc_id"] for r in sampling.jump_sample(docs, 50).collect()]
     assert len(ids) == len(set(ids)) == 50
-
-
-def test_weighted_sample(spark):
-    assert QUERIES["weighted_sample"](spark, SMALL).count() == 50
+    assert sampling.weighted_sample(docs, "n_chars", 50).count() == 50
 
 
 def test_workload_finds_its_seeds(spark):

@@ -34,15 +34,21 @@ def test_index_round_trip(spark, docs, tmp_path):
     keys = grams.useful_keys(docs.filter("text is not null"), 0.3, 4)
     shell = grams.presuf_shell(keys)
     assert set(ids(shell, "gram")) <= set(ids(keys, "gram"))
-    rows = grams.postings(docs.filter("text is not null"), lengths=(3,))
-    name = grams.index_id(0.3, 4)
-    grams.save_index(keys, rows, str(tmp_path), name, c="0.3")
-    _, again = grams.load_index(spark, str(tmp_path), name)
-    assert grams.latest_index(spark, str(tmp_path)) == name
-    frequency = {r["gram"]: r["df"] for r in again.groupBy("gram").agg(F.count("*").alias("df")).collect()}
-    assert ids(grams.index_search(docs, again, "CA-[0-9]+ re", df=frequency, total=6)) == [3]
-    assert ids(grams.index_search(docs, again, "[a-z]+ sum")) == [4]
-    assert ids(grams.index_search(docs, again, "[a-z]{5}")) == [1, 2, 3]
+    stored = docs.filter("text is not null")
+    rows = grams.postings(stored, lengths=(3,))
+    frequency = {r["gram"]: r["df"] for r in rows.groupBy("gram").agg(F.count("*").alias("df")).collect()}
+    assert ids(grams.index_search(docs, rows, "CA-[0-9]+ re", df=frequency, total=6)) == [3]
+    assert ids(grams.index_search(docs, rows, "[a-z]+ sum")) == [4]
+    assert ids(grams.index_search(docs, rows, "[a-z]{5}")) == [1, 2, 3]
+    for options in ({}, {"shell": False}, {"sample": 2}):
+        name = grams.build_index(stored, str(tmp_path), 0.3, 4, **options)
+        assert grams.latest_index(spark, str(tmp_path)) == name
+        kept, bitmaps = grams.load_index(spark, str(tmp_path), name)
+        counted = {r["gram"]: r["df"] for r in grams.bitmap_cardinality(bitmaps).collect()}
+        assert counted == {r["gram"]: r["df"] for r in kept.collect()}
+        assert all(stored.filter(F.contains("text", F.lit(g))).count() == n for g, n in sorted(counted.items())[:4])
+        for pattern in ("CA-[0-9]+ re", "[a-z]+ sum", "[a-z]{5}", "(?:hello|ego) [a-z]", "(?i)HELLO", "zzzz"):
+            assert ids(grams.key_search(docs, str(tmp_path), name, pattern)) == ids(search.search(docs, pattern, "ids")), pattern
     grams.drop_index(spark, str(tmp_path), name)
     assert not (tmp_path / name).exists()
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.regex_analysis import analyze
 from ..plans.prefilter import TRUE, Plan, all_of, conjuncts, leaf, leaves, substitute
-from .search import pg_rlike
+from ..session import shared_folder
+from .search import pg_rlike, text_tokens
 
 #: Selectivity below which a gram is useful, longest key, candidate share above which a full scan is better.
 USEFUL, LONGEST, GATE = 0.1, 10, 0.5
@@ -35,18 +36,30 @@ def gram_df(docs: DataFrame, n: int, text: str = "text", id_col: str = "doc_id")
     return doc_grams(docs, n, text, id_col).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def useful_keys(docs: DataFrame, c: float = USEFUL, longest: int = LONGEST, text: str = "text", id_col: str = "doc_id", total: int | None = None) -> DataFrame:
-    """Grams in at most a share ``c`` of the documents whose prefix without the last character is in more."""
+def useful_keys(docs: DataFrame, c: float = USEFUL, longest: int = LONGEST, text: str = "text", id_col: str = "doc_id", total: int | None = None, folder: str | None = None, sample: int | None = None) -> DataFrame:
+    """Grams in at most a share ``c`` of the documents whose prefix without the last character is in more.
+
+    Each level's grams are counted once, in one pass over the texts, and written to a shared folder (by default one of its own).
+    With ``sample`` the keys are found on that many documents, those whose ids have the smallest hashes; frequencies are theirs.
+    """
+    if sample is not None:
+        chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
+        docs = docs.join(chosen, id_col, "left_semi")
     total = docs.count() if total is None else total
+    folder = folder or shared_folder(docs.sparkSession, "useful-keys")
     out, frequent = None, None
     for n in range(1, longest + 1):
         grams = doc_grams(docs, n, text, id_col)
         if frequent is not None:
             grams = grams.withColumn("head", F.substring("gram", 1, n - 1)).join(frequent.withColumnRenamed("gram", "head"), "head", "left_semi")
         counted = grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("sel", F.col("df") / F.lit(float(max(1, total))))
+        counted.write.mode("overwrite").parquet(f"{folder}/{n}")
+        counted = docs.sparkSession.read.schema(counted.schema).parquet(f"{folder}/{n}")
         useful = counted.filter(F.col("sel") <= c).withColumn("n", F.lit(n))
         out = useful if out is None else out.unionByName(useful)
         frequent = counted.filter(F.col("sel") > c).select("gram")
+        if frequent.isEmpty():
+            break
     return out
 
 
@@ -195,16 +208,73 @@ def gate_decision(docs: DataFrame, rows: DataFrame, pattern: str, n: int = 3, ga
     return out.withColumn("decision", F.when(F.col("candidate_ratio") > gate, "scan").otherwise("index"))
 
 
+def token_postings(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows (token, doc_id): an inverted index of tokens."""
+    return docs.select(F.explode(F.array_distinct(text_tokens(F.col(text)))).alias("token"), F.col(id_col).alias("doc_id"))
+
+
+def holding_all(rows: DataFrame, tokens: list[str]) -> DataFrame:
+    """Ids with all of the tokens."""
+    wanted = list(dict.fromkeys(tokens))
+    held = rows.filter(F.col("token").isin(wanted)).groupBy("doc_id").agg(F.count_distinct("token").alias("held"))
+    return held.filter(F.col("held") == len(wanted)).select("doc_id")
+
+
+def bitmap_candidates(bitmaps: DataFrame, plan: Plan) -> DataFrame:
+    """Ids (doc_id) that meet a plan, from stored bitmaps: an OR in each conjunct, an AND over them, bucket by bucket."""
+    wanted = plan_leaves(bitmaps.sparkSession, {"q": plan})
+    rows = bitmaps.filter(F.col("gram").isin(sorted(leaves(plan)))).join(F.broadcast(wanted), "gram")  # the pattern's leaves
+    each = rows.groupBy("bucket", "grp", "n_groups").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    both = each.groupBy("bucket", "n_groups").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("met"))
+    return bitmap_ids(both.filter("met = n_groups").select(F.lit("").alias("gram"), "bucket", "bitmap")).select("doc_id")
+
+
+def build_index(docs: DataFrame, target: str, c: float = USEFUL, longest: int = LONGEST, shell: bool = True, sample: int | None = None, text: str = "text", id_col: str = "doc_id", table: str = "docs") -> str:
+    """Find useful keys, keep their shell, and store the keys and their postings over all documents as bitmaps; returns the index's name."""
+    name, total = index_id(c, longest, shell, table), docs.count()
+    keys = useful_keys(docs, c, longest, text, id_col, total if sample is None else None, sample=sample)
+    keys = presuf_shell(keys) if shell else keys
+    lengths = [r["n"] for r in keys.select("n").distinct().collect() if r["n"] > 1]  # at most `longest` rows
+    rows = postings(docs, keys, tuple(sorted(lengths)), text, id_col) if lengths else docs.select(F.lit("").alias("gram"), F.col(id_col).alias("doc_id")).limit(0)
+    save_index(keys, rows, target, name, total=total, c=c, longest=longest)
+    return name
+
+
+def key_search(docs: DataFrame, target: str, name: str, pattern: str, gate: float = GATE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Matching ids through a stored index of keys: substitution, gate, bitmaps, verification; a scan where keys don't help."""
+    spark = docs.sparkSession
+    keys, bitmaps = load_index(spark, target, name)
+    about = spark.read.schema("params map<string,string>").json(f"{target}/{name}/meta").first()["params"]
+    total = int(about["total"])
+    verified = docs.filter(pg_rlike(F.col(text), pattern)).select(F.col(id_col).alias("doc_id"))
+    found = analyze(pattern)
+    parts = sorted({x[i:j] for x in leaves(found.plan) for i in range(len(x)) for j in range(i + 2, min(len(x), i + int(about["longest"])) + 1)})
+    if found.case_mode != "sensitive" or not parts:
+        return verified
+    df = {r["gram"]: r["df"] for r in keys.filter(F.col("gram").isin(parts)).select("gram", "df").collect()}  # parts of one pattern
+    plan = key_plan(found.plan, df)
+    if plan.kind == "TRUE" or bounds(plan, df, total) > gate * total:
+        return verified
+    ids = bitmap_candidates(bitmaps, plan).withColumnRenamed("doc_id", id_col)
+    ids = F.broadcast(ids) if bounds(plan, df, total) <= BROADCAST else ids
+    return docs.join(ids, id_col, "left_semi").filter(pg_rlike(F.col(text), pattern)).select(F.col(id_col).alias("doc_id"))
+
+
 def index_id(c: float = USEFUL, longest: int = LONGEST, shell: bool = True, table: str = "docs") -> str:
     """The same name for the same parameters."""
     return f"{table}_c{c:g}_l{longest}_{'shell' if shell else 'full'}"
 
 
-def save_index(keys: DataFrame, rows: DataFrame, target: str, name: str, **meta: str) -> None:
-    """Write keys, postings in the order of the grams, and a description; an index of the same name is replaced."""
+def save_index(keys: DataFrame, rows: DataFrame, target: str, name: str, **meta: object) -> None:
+    """Write keys, postings as bitmaps in the order of the grams, and a description; an index of the same name is replaced.
+
+    A key's frequency is that among the rows, which may cover more documents than those it was found on.
+    """
     spark = keys.sparkSession
-    keys.write.mode("overwrite").parquet(f"{target}/{name}/keys")
-    rows.repartitionByRange("gram").sortWithinPartitions("gram", "doc_id").write.mode("overwrite").parquet(f"{target}/{name}/postings")
+    bitmaps = bitmap_postings(rows).repartitionByRange("gram").sortWithinPartitions("gram", "bucket")
+    bitmaps.write.mode("overwrite").parquet(f"{target}/{name}/postings")
+    df = spark.read.parquet(f"{target}/{name}/postings").groupBy("gram").agg(F.sum("df").alias("df"))
+    keys.drop("df", "sel").join(df, "gram").repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{target}/{name}/keys")
     about = spark.createDataFrame([(name, {k: str(v) for k, v in meta.items()})], "index_id string, params map<string,string>")
     about.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{target}/{name}/meta")
 

@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """``sorted(values)[int(p * (n - 1))]``."""
-    return F.element_at(F.array_sort(values), (F.floor(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
+def nearest_ranks(rows: DataFrame, value: str, ps: dict[str, float], *keys: str) -> DataFrame:
+    """For each key the values ``sorted(values)[int(p * (n - 1))]``; equal values are counted together before they are ordered."""
+    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    placed = counted.withColumn("_upto", upto).withColumn("_total", total)
+    reached = {name: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_total") - 1)), F.col("_v"))).alias(name) for name, p in ps.items()}
+    return placed.groupBy(*keys).agg(*reached.values())
 
 
 def latency_summary(runs: DataFrame, time: str = "duration_ms", ok: str = "ok", *keys: str) -> DataFrame:
     """n, average and nearest-rank p50 and p90 of the runs that went well."""
-    rows = runs.filter(F.col(ok)).groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(time), 6).alias("avg"), F.collect_list(time).alias("_t"))
-    return rows.withColumn("p50", nearest_rank(F.col("_t"), 0.5)).withColumn("p90", nearest_rank(F.col("_t"), 0.9)).drop("_t")
+    good = runs.filter(F.col(ok))
+    rows = good.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(time), 6).alias("avg"))
+    ranks = nearest_ranks(good, time, {"p50": 0.5, "p90": 0.9}, *keys)
+    return rows.join(ranks, list(keys)) if keys else rows.crossJoin(ranks)  # one row each
 
 
 def linear_percentiles(runs: DataFrame, time: str, *keys: str) -> DataFrame:
@@ -133,3 +140,22 @@ def parse_vulnerability_log(lines: DataFrame, column: str = "value") -> DataFram
     found = lines.select(F.regexp_extract(column, r"^\s*([0-9]+)\s*[:,\t]", 1).alias("id"), F.upper(F.regexp_extract(column, r"(?i)\b(not[ _-]?vulnerable|vulnerable|safe|true|false)\b", 1)).alias("verdict"))
     found = found.filter("id <> '' and verdict <> ''")
     return found.select(F.col("id").cast("long"), F.col("verdict").isin("VULNERABLE", "TRUE").alias("vulnerable"))
+
+
+def parse_status_log(lines: DataFrame, column: str = "value", per_item: int = 10) -> DataFrame:
+    """Rows (id, vulnerable) from lines ``n: status`` or ``n failed: ...``; n counts the completions of all items, from 1."""
+    found = lines.select(F.regexp_extract(column, r"^\s*([0-9]+)( failed)?", 1).alias("n"), F.col(column).rlike(r"^\s*[0-9]+ failed").alias("failed"), F.trim(F.split(column, ":")[1]).alias("status"))
+    number = F.expr(f"(cast(n as bigint) - 1) div {per_item}")
+    return found.filter("n <> ''").select(number.alias("id"), F.coalesce(~F.col("failed") & (F.col("status") == "success"), F.lit(False)).alias("vulnerable"))
+
+
+#: What separates the sections of the other log; readers take it as the separator of lines.
+SECTION = "-------------------------"
+
+
+def parse_section_log(sections: DataFrame, column: str = "value", offset: int = 0, per_item: int = 10) -> DataFrame:
+    """Rows (id, pattern, vulnerable) from sections of three lines: ``id: n``, the pattern, the result; shorter ones are skipped."""
+    lines = F.split(F.regexp_replace(column, r"\A\n", ""), "\n")
+    found = sections.select(lines.alias("l")).filter(F.size("l") >= 3)
+    number = F.trim(F.element_at(F.split(F.col("l")[0], ":"), -1)).cast("long")
+    return found.select(number.alias("n"), F.trim(F.col("l")[1]).alias("pattern"), (F.trim(F.col("l")[2]) == "RESULT-TRUE").alias("vulnerable")).select(F.expr(f"(n + {offset} - 1) div {per_item}").alias("id"), "pattern", "vulnerable")

@@ -13,9 +13,14 @@ def exact_sample(df: DataFrame, k: int, seed: int = 42, key: Column | None = Non
     return df.orderBy(F.rand(seed) if key is None else key).limit(k)
 
 
-def bernoulli(df: DataFrame, percent: float, limit: int | None = None, seed: int = 42) -> DataFrame:
-    """Each row with the same probability (block sampling of other engines keeps whole pages instead)."""
-    out = df.sample(fraction=min(1.0, percent / 100), seed=seed)
+def uniform(id_col: str) -> Column:
+    """A number from 0 on and below 1 that follows from an integer id alone, the same on any engine."""
+    return F.pmod(F.col(id_col) * F.lit(2654435761), F.lit(4294967296)) / F.lit(4294967296.0)
+
+
+def bernoulli(df: DataFrame, percent: float, limit: int | None = None, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """Each row with the same probability (block sampling of other engines keeps whole pages instead); with ``key`` where that is low."""
+    out = df.sample(fraction=min(1.0, percent / 100), seed=seed) if key is None else df.filter(key < percent / 100)
     return out if limit is None else out.limit(limit)
 
 
@@ -47,12 +52,12 @@ def next_ids(df: DataFrame, probes: DataFrame, id_col: str = "doc_id") -> DataFr
     return found.select(F.col("at").alias("probe"), F.coalesce("next", "later").alias("id"))
 
 
-def jump_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id", attempts: int = 5) -> DataFrame:
-    """Rows next to uniform ids, without repeats, from at most ``attempts`` times n probes."""
+def jump_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id", attempts: int = 5, key: Column | None = None) -> DataFrame:
+    """Rows next to uniform ids, without repeats, from at most ``attempts`` times n probes; ``key`` draws from the probe's number ``id``."""
     low, high = df.agg(F.min(id_col), F.max(id_col)).first()
     if low is None:
         return df.limit(0)
-    probes = df.sparkSession.range(n * attempts).select((F.floor(F.rand(seed) * F.lit(high - low + 1)) + F.lit(low)).cast("long").alias("probe"), "id")
+    probes = df.sparkSession.range(n * attempts).select((F.floor((F.rand(seed) if key is None else key) * F.lit(high - low + 1)) + F.lit(low)).cast("long").alias("probe"), "id")
     first = probes.groupBy("probe").agg(F.min("id").alias("order"))
     ids = next_ids(df, first, id_col).join(first, "probe").groupBy("id").agg(F.min("order").alias("order")).orderBy("order").limit(n)
     return df.join(F.broadcast(ids.select(F.col("id").alias(id_col))), id_col, "left_semi")  # n ids
@@ -98,9 +103,33 @@ def stride_ids(spark: SparkSession, low: int, high: int, n: int, start: int = 0,
     return spark.range(n).select((F.pmod(F.lit(start) + F.col("id") * F.lit(walk), F.lit(span)) + F.lit(low)).cast("long").alias("id"))
 
 
-def weighted_sample(df: DataFrame, weight: str, k: int, seed: int = 42) -> DataFrame:
+def weighted_sample(df: DataFrame, weight: str, k: int, seed: int = 42, key: Column | None = None) -> DataFrame:
     """k rows without replacement, likelier with a larger weight (Efraimidis and Spirakis)."""
-    return df.filter(F.col(weight) > 0).orderBy(F.pow(F.rand(seed), 1 / F.col(weight)).desc()).limit(k)
+    return df.filter(F.col(weight) > 0).orderBy(F.pow(F.rand(seed) if key is None else key, 1 / F.col(weight)).desc()).limit(k)
+
+
+def random_ids(spark: SparkSession, low: int, high: int, n: int, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """n ids drawn from low..high with replacement; ``key`` draws from the row's number ``id``."""
+    return spark.range(n).select((F.floor((F.rand(seed) if key is None else key) * F.lit(high - low + 1)) + F.lit(low)).cast("long").alias("id"))
+
+
+def worker_ranges(spark: SparkSession, low: int, high: int, workers: int) -> DataFrame:
+    """Rows (worker, first, last): the ids low..high in ranges that differ by one at most."""
+    span = high - low + 1
+    cut = lambda c: F.expr(f"cast(({c}) * {span} div {workers} + {low} as bigint)")
+    return spark.range(workers).select(F.col("id").alias("worker"), cut("id").alias("first"), (cut("id + 1") - 1).alias("last")).filter("first <= last")
+
+
+class EstimateCache:
+    """Estimates that are made once for each condition."""
+
+    def __init__(self, df: DataFrame, percent: float, rounds: int = 3, seed: int = 42):
+        self.df, self.options, self.known = df, (percent, rounds, seed), {}
+
+    def matches(self, name: str, condition: Column) -> float:
+        if name not in self.known:
+            self.known[name] = estimate_matches(self.df, condition, *self.options)
+        return self.known[name]
 
 
 def estimate_matches(df: DataFrame, condition: Column, percent: float, rounds: int = 3, seed: int = 42) -> float:

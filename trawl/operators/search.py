@@ -14,7 +14,7 @@ from ..functions.regex_ast import RegexError
 from ..functions.regex_dialect import to_java
 from ..plans.prefilter import to_column
 
-#: Names of text columns, the likeliest first.
+#: Usual names of text columns, the likeliest first.
 TEXT_COLUMNS = ("text_content", "content", "body", "comment", "name", "text", "title", "primaryname")
 
 

@@ -69,6 +69,18 @@ def compare_mappings(a: DataFrame, b: DataFrame) -> DataFrame:
     ).withColumn("same_set", F.col("n_different") == 0).withColumn("same_order", (F.col("n_different") == 0) & (F.col("n_common") == F.col("n_same_pos")))
 
 
+def mapping_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows (gram, a, b, kind) where two maps differ: only_in_a, only_in_b, or moved to another position."""
+    both = a.select("gram", F.col("pos").alias("a")).join(b.select("gram", F.col("pos").alias("b")), "gram", "full_outer")
+    kind = F.when(F.col("b").isNull(), "only_in_a").when(F.col("a").isNull(), "only_in_b").when(F.col("a") != F.col("b"), "moved")
+    return both.withColumn("kind", kind).filter("kind is not null")
+
+
+def signature_table(df: DataFrame, mappings: dict[str, dict[str, int]], text: str = "text") -> DataFrame:
+    """The table with one column ``sig_<name>_<bits>`` for each mapping, from one scan."""
+    return df.withColumns({f"sig_{name}_{max(m.values()) + 1}": signature(F.col(text), m) for name, m in mappings.items()})
+
+
 def write_mapping(top: DataFrame, k: int, path: str) -> None:
     import json
     from pathlib import Path

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .grams import gram_df
 
+# The token pattern, the gaps and the defaults of `Policy` are those of the workload files.
 TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*|[^\w\s]"
 GAPS = {"anychar": r"(?:.|\n)", "space": "[[:space:]]", "nonword": "[^A-Za-z0-9_]"}
 
@@ -38,6 +39,10 @@ class Policy:
     slack: int = 2
     k_max: int = 6
     max_per_seed: int = 1
+    digits: str = "generalize"  # digits of structured tokens: generalize, literal, or mixed with the probability below
+    generalize_prob: float = 0.7
+    alternative: str = "light"  # whether the last character of a gram may be any word character: light or off
+    cap_side: int = 10
     ignore_case: bool = False
 
 
@@ -54,25 +59,40 @@ def is_structured(token: str) -> bool:
     return any(c.isdigit() for c in token) or "-" in token
 
 
+def _escaped(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_])", r"\\\1", text)
+
+
 def render_structured(token: str, general: bool) -> str:
-    """Digits and letters as classes with counts, or the token itself."""
+    """The token with its runs of digits as classes with counts, or the token itself."""
     if not general:
-        return re.sub(r"([^A-Za-z0-9_])", r"\\\1", token)
-    out = []
-    for run in re.findall(r"[0-9]+|[A-Za-z]+|.", token):
-        out.append(f"[0-9]{{{len(run)}}}" if run[0].isdigit() else f"[A-Za-z]{{{len(run)}}}" if run[0].isalpha() and run.isascii() else "\\" + run)
-    return "".join(out)
+        return _escaped(token)
+    return "".join(f"[0-9]{{{len(run)}}}" if run[0].isdigit() else _escaped(run) for run in re.findall(r"[0-9]+|[^0-9]+", token))
+
 
+def _side(low: int, high: int) -> str:
+    """Between ``low`` and ``high`` word characters."""
+    if high <= 0:
+        return ""
+    count = "" if low == high == 1 else f"{{{low}}}" if low == high else f"{{{low},{high}}}"
+    return "[A-Za-z0-9_]" + count
 
-def render_gram(token: str, gram: str, slack: int) -> str:
-    """A token around its gram: as many word characters before and after as it has, with some slack."""
+
+def render_gram(token: str, gram: str, slack: int, cap: int = 10, alternative: str = "light") -> str:
+    """A token around its gram: as many word characters before and after as it has, give or take the slack, at most ``cap`` a side."""
     at = token.index(gram)
-    before, after = at, len(token) - at - len(gram)
+    sides = []
+    for count in (at, len(token) - at - len(gram)):
+        high = min(count + max(0, slack), cap)
+        sides.append(_side(min(max(0, count - max(0, slack)), high), high))
+    core = f"(?:{gram}|{gram[:-1]}[A-Za-z0-9_])" if alternative == "light" and len(gram) in (2, 3) else gram
+    return sides[0] + core + sides[1]
 
-    def side(count: int) -> str:
-        return f"[A-Za-z0-9_]{{{max(0, count - slack)},{count + slack}}}" if count else ""
 
-    return side(before) + gram + side(after)
+def usable_grams(token: str, pool: dict[str, int], policy: Policy) -> list[tuple[int, str]]:
+    """The pool's grams of a token with their frequencies, rarest first; a side longer than the cap wouldn't match the token itself."""
+    grams = {token[a : a + policy.n] for a in range(len(token) - policy.n + 1)}
+    return sorted((pool[g], g) for g in grams if g in pool and max(token.index(g), len(token) - token.index(g) - len(g)) <= policy.cap_side)
 
 
 def gap(policy: Policy, distance: int) -> str:
@@ -87,20 +107,23 @@ def make_pattern(seed: str, pool: dict[str, int], policy: Policy, number: int =
     words = [(i, t) for i, t in enumerate(found) if re.match(r"[A-Za-z0-9]", t)]
     total = sum(len(t) for _, t in words)
     budget = math.ceil(policy.expose * total)
+    found_grams = {t: usable_grams(t, pool, policy) for _, t in words if not is_structured(t)}
+    most = sum(len(t) if is_structured(t) else policy.n * bool(found_grams[t]) for _, t in words)
+    raw, budget = budget, min(budget, most)
     rng = random.Random(zlib.crc32(seed.encode()) * 1009 + number)
     struct = [(i, t) for i, t in words if is_structured(t)]
     rng.shuffle(struct)
     grams = []
     for i, t in words:
         if not is_structured(t):
-            best = sorted(((pool[g], g) for g in {t[a : a + policy.n] for a in range(len(t) - policy.n + 1)} if g in pool))[:12]
+            best = found_grams[t][:12]
             grams += [((1 + 0.03 * min(len(t), 30)) / (df + 1), i, t, g) for df, g in best]
     grams.sort(key=lambda x: (-x[0], x[1], x[3]))
     islands, shown = [], 0
     for i, t in struct:
         if len(islands) >= policy.k_max or shown >= budget * policy.struct_ratio:
             break
-        general = rng.random() < 0.5
+        general = policy.digits == "generalize" or policy.digits == "mixed" and rng.random() < policy.generalize_prob
         islands.append({"kind": "struct", "pos": i, "tok": t, "expose_len": len(t), "text": render_structured(t, general)})
         shown += len(t)
     used = {x["pos"] for x in islands}
@@ -109,7 +132,7 @@ def make_pattern(seed: str, pool: dict[str, int], policy: Policy, number: int =
             break
         if i not in used:
             used.add(i)
-            islands.append({"kind": "ngram", "pos": i, "tok": t, "expose_len": len(g), "text": render_gram(t, g, policy.slack)})
+            islands.append({"kind": "ngram", "pos": i, "tok": t, "expose_len": len(g), "text": render_gram(t, g, policy.slack, policy.cap_side, policy.alternative)})
             shown += len(g)
     if not islands:
         return None
@@ -122,7 +145,10 @@ def make_pattern(seed: str, pool: dict[str, int], policy: Policy, number: int =
         kept.append(x)
         pattern += between + r"\y" + x["text"] + r"\y"
     islands, shown = kept, sum(x["expose_len"] for x in kept)
-    return {"regex": ("(?i)" if policy.ignore_case else "") + pattern, "n_islands": len(islands), "exposed_len": shown, "word_chars": total, "kept_positions": [x["pos"] for x in islands], "kinds": [x["kind"] for x in islands]}
+    n_struct = sum(x["kind"] == "struct" for x in islands)
+    by_struct = sum(x["expose_len"] for x in islands if x["kind"] == "struct")
+    exposure = (total, raw, budget, most, shown, policy.expose, shown / max(1, total), len(islands), n_struct, len(islands) - n_struct, policy.struct_ratio, by_struct / max(1, shown), policy.digits, policy.generalize_prob, policy.alternative)
+    return {"exposure": exposure, "regex": ("(?i)" if policy.ignore_case else "") + pattern, "n_islands": len(islands), "exposed_len": shown, "word_chars": total, "kept_positions": [x["pos"] for x in islands], "kinds": [x["kind"] for x in islands]}
 
 
 def gram_pool(docs: DataFrame, n: int, low: int, share: float, text: str = "text", id_col: str = "doc_id", most: int = 62**3) -> DataFrame:
@@ -136,10 +162,31 @@ def gram_pool(docs: DataFrame, n: int, low: int, share: float, text: str = "text
     return found.orderBy("df", "gram").limit(most)
 
 
-def generate(seeds: DataFrame, pool: DataFrame, policy: Policy | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows (seed_id, seed_string, regex, exposure...) without repeated patterns of a seed; the pool goes to every task."""
+#: Grams of a pool at most, as it goes to every task.
+POOL = 300_000
+EXPOSURE = (
+    "struct<word_chars_total:int,budget_raw:int,budget_capped:int,max_possible:int,exposed_len:int,expose_ratio_target:double,expose_ratio_actual:double,n_islands:int,n_struct:int,n_ngram:int,"
+    "struct_ratio_target:double,struct_ratio_actual:double,struct_digit_mode:string,struct_generalize_prob:double,ngram_alt_mode:string>"
+)
+
+
+def best_grams(tokens_of: DataFrame, pool: DataFrame, n: int = 3, most: int = 12, token: str = "token") -> DataFrame:
+    """Rows (token, gram, df, rank): the rarest grams of the pool in each distinct token, ties by gram."""
+    grams = tokens_of.select(F.col(token).alias("token")).distinct().select("token", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("gram"))
+    ranked = grams.join(pool.select("gram", "df"), "gram").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("df", "gram")))
+    return ranked.filter(F.col("rank") <= most).select("token", "gram", "df", "rank")
+
+
+def generate(seeds: DataFrame, pool: DataFrame, policy: Policy | None = None, text: str = "text", id_col: str = "doc_id", max_per_regex: int | None = None) -> DataFrame:
+    """Rows (seed_id, seed_string, regex, exposure...) without repeated patterns of a seed, and at most so many rows of one pattern.
+
+    The pool goes to every task; one of more than ``POOL`` grams is refused.
+    """
     policy = policy or Policy()
-    known = seeds.sparkSession.sparkContext.broadcast({r["gram"]: r["df"] for r in pool.select("gram", "df").collect()})
+    grams = pool.select("gram", "df").limit(POOL + 1).collect()
+    if len(grams) > POOL:
+        raise ValueError(f"a pool has at most {POOL} grams")
+    known = seeds.sparkSession.sparkContext.broadcast({r["gram"]: r["df"] for r in grams})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,12 +195,19 @@ def generate(seeds: DataFrame, pool: DataFrame, policy: Policy | None = None, te
                 for number in range(policy.max_per_seed if seed else 0):
                     made = make_pattern(seed, known.value, policy, number)
                     if made:
-                        rows.append((seed_id, seed, made["regex"], made["n_islands"], made["exposed_len"], made["word_chars"], made["exposed_len"] / max(1, made["word_chars"]), made["kept_positions"], made["kinds"]))
-            yield pd.DataFrame(rows, columns=["seed_id", "seed_string", "regex", "n_islands", "exposed_len", "word_chars", "expose_ratio", "kept_positions", "kinds"])
+                        rows.append((seed_id, seed, made["regex"], made["n_islands"], made["exposed_len"], made["word_chars"], made["exposed_len"] / max(1, made["word_chars"]), made["kept_positions"], made["kinds"], made["exposure"]))
+            yield pd.DataFrame(rows, columns=["seed_id", "seed_string", "regex", "n_islands", "exposed_len", "word_chars", "expose_ratio", "kept_positions", "kinds", "exposure"])
 
-    schema = "seed_id long, seed_string string, regex string, n_islands int, exposed_len int, word_chars int, expose_ratio double, kept_positions array<int>, kinds array<string>"
+    schema = "seed_id long, seed_string string, regex string, n_islands int, exposed_len int, word_chars int, expose_ratio double, kept_positions array<int>, kinds array<string>, exposure " + EXPOSURE
     made = seeds.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, schema)
-    return made.withColumn("regex_hash", F.xxhash64("regex")).dropDuplicates(["seed_id", "regex_hash"])
+    made = made.withColumn("regex_hash", F.xxhash64("regex")).dropDuplicates(["seed_id", "regex_hash"])
+    return made if max_per_regex is None else cap_per_key(made, "regex", max_per_regex, "seed_id")
+
+
+def dedup_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key in the order."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter("_rank = 1").drop("_rank")
 
 
 def cap_per_key(df: DataFrame, key: str, cap: int, *order: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,6 +22,27 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([REPO, *paths])
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see, below ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    A session without that setting must be one local process, and gets a local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='trawl-')}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone when the driver ends
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(drop)
+    return folder
+
+
 def local_session(name: str = "trawl", cores: str = "8", memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     builder = (
