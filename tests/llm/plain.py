@@ -96,3 +96,54 @@ def best_fit(lengths, capacity=4096):
         room = rooms.pop(at) if at < len(rooms) else capacity
         rooms.insert(bisect_left(rooms, room - n), room - n)
     return len(rooms)
+
+
+def plain_label_model(rows, rounds):
+    """Prior and vote probabilities by expectation-maximisation, document by document; votes are 1 good, 0 bad, 2 none."""
+    belief = []
+    for votes in rows:
+        said = [v for v in votes if v != 2]
+        start = (said.count(1) + 1) / (len(said) + 2)
+        belief.append(min(start, 0.4) if 0 in said else max(start, 0.6))
+    wide = len(rows[0])
+    for _ in range(rounds):
+        good = sum(belief)
+        prior = (good + 1) / (len(rows) + 2)
+        given = [[[0.0] * 3 for _ in range(wide)] for _ in range(2)]
+        for label, total in ((0, len(rows) - good), (1, good)):
+            for k in range(wide):
+                for v in range(3):
+                    held = sum((b if label else 1 - b) for b, votes in zip(belief, rows) if votes[k] == v)
+                    given[label][k][v] = (held + 1) / (total + 3)
+        last, belief = belief, []
+        for votes in rows:
+            odds = math.log(prior / (1 - prior))
+            for k, v in enumerate(votes):
+                if v != 2:
+                    odds += math.log(given[1][k][v] / (given[1][k][0] + given[1][k][1])) - math.log(given[0][k][v] / (given[0][k][0] + given[0][k][1]))
+            belief.append(1 / (1 + math.exp(-max(-40, min(40, odds)))))
+        if max(abs(a - b) for a, b in zip(belief, last)) < 1e-9:
+            break
+    return prior, given
+
+
+def plain_regression(rows, target, rounds, rate, shrink):
+    """Logistic regression by full gradients with adaptive steps, on tables of weights."""
+    weights, bias, squares, square = {}, 0.0, {}, 1e-8
+    share = min(0.98, max(0.02, sum(target) / len(target)))
+    worth = [t / (2 * share) + (1 - t) / (2 * (1 - share)) for t in target]
+    for places, _ in rows:
+        weights |= dict.fromkeys(places, 0.0)
+    squares = dict.fromkeys(weights, 1e-8)
+    for _ in range(rounds):
+        errors = [w * (t - 1 / (1 + math.exp(-(bias + sum(weights[p] * v for p, v in zip(*row)))))) / len(rows) for w, t, row in zip(worth, target, rows)]
+        slope = {p: -shrink * w for p, w in weights.items()}
+        for e, (places, values) in zip(errors, rows):
+            for p, v in zip(places, values):
+                slope[p] += e * v
+        for p, g in slope.items():
+            squares[p] += g * g
+            weights[p] += rate * g / math.sqrt(squares[p])
+        square += sum(errors) ** 2
+        bias += rate * sum(errors) / math.sqrt(square)
+    return weights, bias

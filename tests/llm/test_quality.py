@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.plain import base_counts, best_fit, near_duplicates, ngram_scores
+from tests.llm.plain import base_counts, best_fit, near_duplicates, ngram_scores, plain_label_model, plain_regression
 from tests.oracle import SMALL, connect, spark_rows, sql_rows
 from trawl.llm import line_crf, ngram_lm, preferences, registry, weak_quality
 
@@ -195,6 +196,80 @@ def test_preferences_against_sql(spark):
     assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_preferences_of_any_two_sides(spark):
+    a, b, c = ("user", "q"), ("assistant", "x"), ("assistant", "y")
+    sides = [([a, b], [a, c]), ([b], [c]), ([a, b], [a]), ([a], [a, b]), ([], []), ([a, b], [a, b]), (None, [a, b]), ([a], None), (None, None), ([(None, None), b], [("", ""), c]), ([None, a, b], [a, c])]
+    schema = "id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt_id string"
+    rows = {r["id"]: r for r in preferences.format_pairs(spark.createDataFrame([(i, x, y, "k") for i, (x, y) in enumerate(sides)], schema)).collect()}
+    render = lambda turns: "".join(f"<|{r or ''}|>\n{t or ''}<|end|>\n" for r, t in turns)
+    for i, (x, y) in enumerate(sides):
+        x, y = ([tuple(v or "" for v in t) for t in side or [] if t] for side in (x, y))
+        same = next((n for n, (s, t) in enumerate(zip(x, y)) if s != t), min(len(x), len(y)))
+        r = rows[i]
+        assert (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"], r["prompt_id"]) == (same, render(x[:same]), render(x[same:]), render(y[same:]), "k"), i
+        for name, turns in (("chosen", x[same:]), ("rejected", y[same:])):
+            parts = [tuple(map(int, m.split(":"))) for m in r[f"{name}_mask"].split(",") if m]
+            assert [(r["prompt"] + r[name])[s:e] for s, e in parts] == [f"{t}<|end|>\n" for role, t in turns if role == "assistant"]
+
+
+def test_label_model_against_votes_one_by_one(spark):
+    """Expectation-maximisation over documents instead of counted patterns, written out."""
+    texts = [(r[0] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    rows = [weak_quality.votes(weak_quality.measures(t, t.split())) for t in texts if t.split()]
+    prior, given = plain_label_model(rows, 200)
+    model = weak_quality.LabelModel(Counter(map(weak_quality.pattern_code, rows)))
+    assert math.isclose(model.prior, prior, rel_tol=1e-6)
+    assert np.allclose(model.given, given, atol=1e-6)
+    for vote in rows[:50]:
+        good, bad = prior, 1 - prior
+        for k, v in enumerate(vote):
+            if v != weak_quality.NONE:
+                good *= given[1][k][v] / (given[1][k][0] + given[1][k][1])
+                bad *= given[0][k][v] / (given[0][k][0] + given[0][k][1])
+        assert math.isclose(model.probability(weak_quality.pattern_code(vote)), good / (good + bad), rel_tol=1e-5)
+
+
+def test_scorer_against_plain_regression():
+    """Hashed logistic regression with tables instead of arrays; verdicts follow from the threshold."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "Zq9", "words", "##", "and."]) for _ in range(rng.randint(6, 30))).encode() for _ in range(30)]
+    rows = [weak_quality.hashed_features(t, t.split(), weak_quality.measures(t, t.split())) for t in texts]
+    target = [0.9 if b"##" not in t else 0.2 for t in texts]
+    weights, bias = plain_regression(rows, target, weak_quality.ROUNDS, weak_quality.RATE, weak_quality.SHRINK)
+    scorer = weak_quality.fit_scorer(rows, np.array(target))
+    for text, (places, values) in zip(texts, rows):
+        plain = 1 / (1 + math.exp(-(bias + sum(weights.get(p, 0.0) * v for p, v in zip(places, values)))))
+        assert math.isclose(scorer.score(text), plain, rel_tol=1e-6)
+
+
+def test_whole_documents_up_to_a_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "fit", lambda chains: chains)
+    rows = [(i, "\n".join(f"line {i} {j} of some text" for j in range(n))) for i, n in enumerate([700, 3, 40, 5000, 8])]
+    df = spark.createDataFrame([*rows, (4, "more rows of one id"), (None, "x")], "doc_id int, text string")
+    assert sorted(map(len, line_crf.train(df))) == [1, 3, 40, 700, 5000] or sorted(map(len, line_crf.train(df))) == [3, 8, 40, 700, 5000]
+    few = line_crf.train(df, lines=800)
+    assert sum(map(len, few)) <= 800 and all(len(c) in (0, 1, 3, 8, 40, 700) for c in few)
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_repeated_rows_and_small_ids(spark, kind):
+    """Every filter and measure takes ids of any integer type, and gives equal rows equal results."""
+    text = " ".join(f"word{i % 40} and some more." for i in range(60))
+    rows = [(1, text, "k"), (1, text, "k"), (1, "other", "l"), (None, None, None), (2, "", "m"), (3, text, None)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, score string")
+    for out in (weak_quality.judge(df, weak_quality.train(df)[1]), line_crf.judge(df, line_crf.train(df))):
+        found = [tuple(r) for r in out.collect()]
+        assert len(found) == len(rows) and len({f for f in found if f[0] == 1}) == 2
+    for kept in (weak_quality.keep(df, weak_quality.train(df)[1]), line_crf.keep(df, line_crf.train(df))):
+        assert kept.schema == df.schema and kept.count() <= len(rows)
+
+
+def test_one_word_of_megabytes(spark):
+    df = spark.createDataFrame([(1, "x" * 3_000_000)], "doc_id long, text string")
+    row = line_crf.judge(df, line_crf.train(df)).first()
+    assert (row["n_words"], row["word_chars"], row["kept"]) == (1, 3_000_000, False)
+
+
 def test_preferences_of_nothing(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert preferences.format_pairs(preferences.with_other_reply(empty)).count() == 0
@@ -231,19 +306,11 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 4
 
 
-def test_field_sees_the_ends_of_long_documents(spark, monkeypatch):
-    text = "\n".join([f"line number {i} of a long text" for i in range(700)] + ["line number 5 of a long text"])
-    chain = [tuple(map(int, f)) for f in line_crf.chain_of(line_crf.lines_of(text.encode()))]
-    monkeypatch.setattr(line_crf, "fit", lambda chains: chains)
-    chains = line_crf.train(spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    assert sum(map(len, chains)) <= line_crf.LINES
-    assert chain[-1] in {c[-1] for c in chains} and chain[0] in {c[0] for c in chains}
-
-
 def test_pipeline_on_odd_tables(spark, odd, empty):
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        assert stage(spark, odd, SMALL).columns == odd.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert name == "packing" or stage(spark, odd, SMALL).columns == odd.columns
         assert stage(spark, empty, SMALL).count() == 0
+    assert corpus_pipeline.best_fit_packing(spark, odd, SMALL).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
 
 
 def test_clean_labelled_documents_survive_the_filters(spark, labelled):

@@ -165,6 +165,60 @@ def test_orc_metadata(spark, docs, scratch):
     assert b"orc" in open(path, "rb").read(3).lower()
 
 
+def test_orc_indexes_skip_stripes(spark, scratch, texts):
+    """The files' own streams: row indexes and Bloom filters of the ids are there, and a missing id reads no row groups."""
+    import pyarrow.orc as orc
+
+    target = scratch.path("ids")
+    many = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "repeat('some words here ', 4) AS text")
+    orc_tokens.write(many, target, public_tokenizers.path(orc_tokens.TOKENIZER), partitions=2)
+    paths = [r[0].removeprefix("file://").removeprefix("file:") for r in orc_tokens.read(spark, target).select(F.input_file_name()).distinct().collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 5000 and reader.getStripes().size() == orc.ORCFile(path).nstripes
+        stripes = reader.getStripes()
+        held = [stripes[n].getIndexLength() for n in range(stripes.size())]
+        assert min(held) > 5000  # indexes with a Bloom filter of the ids for every 5,000 rows
+    assert orc_tokens.read(spark, target, [4, 39_998]).count() == 2
+    assert orc_tokens.read(spark, target, [5, 39_999, 70_000]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_repeated_rows_and_small_ids(spark, scratch, kind):
+    """Ids of any integer type, repeated and missing ids, clashing columns."""
+    rows = [(1, "a b c", "k"), (1, "a b c", "k"), (1, "other", "l"), (None, None, None), (2, "", "m")]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, file string")
+    path, target = public_tokenizers.path(bpe.RANKS), scratch.path("ids")
+    assert sorted(r["n_tokens"] for r in bpe.round_trip(df, path, public_tokenizers.PATTERN).collect())[:2] == [0, 0]
+    orc_tokens.write(df, target, public_tokenizers.path(orc_tokens.TOKENIZER), partitions=2)
+    found = sorted(tuple(r) for r in orc_tokens.digests(spark, target).select("start", "n_tokens").collect())
+    assert len(found) == 5 and all(a[0] + a[1] == b[0] for a, b in zip(found, found[1:]))
+    assert packing.pack_documents(df, scratch).count() == 5
+    shards = sharding.assign(df, scratch).collect()
+    assert len(shards) == 5 and len({r["shard"] for r in shards if r["doc_id"] == 1}) == 1
+    plain = sharding.assign(spark.createDataFrame([(1, "")], "doc_id bigint, text string"), scratch).first()
+    assert {r["shard"] for r in shards if r["doc_id"] == 1} == {plain["shard"]}
+
+
+def test_shards_by_the_plain_hash(spark, scratch):
+    def mixed(x):
+        x = (x + 0x9E3779B97F4A7C15) % (1 << 64)
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ (x >> 31)
+
+    ids = [*range(-5, 200), 1 << 40, -(1 << 62)]
+    rows = sharding.assign(spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string"), scratch).collect()
+    assert {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in rows} == {i: (jump(mixed(i % (1 << 64)), 40), jump(mixed(i % (1 << 64)), 41)) for i in ids}
+
+
+def test_one_word_of_megabytes(spark, scratch):
+    df = spark.createDataFrame([(1, "x" * 3_000_000)], "doc_id long, text string")
+    rows = packing.pack_documents(df, scratch).collect()
+    assert sum(r["length"] for r in rows) >= 2 and max(r["length"] for r in rows) <= 4096
+
+
 def test_orc_of_nothing(spark, empty, scratch):
     target = scratch.path("ids")
     orc_tokens.write(empty, target, public_tokenizers.path(orc_tokens.TOKENIZER), partitions=2)

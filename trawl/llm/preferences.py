@@ -4,7 +4,7 @@ A pair has a chosen and a rejected conversation. Their longest common prefix of
 as the prompt; what follows in each is rendered as its completion. A mask lists the parts of prompt plus completion, in code
 points, that a model is to be trained on: text and end mark of the assistant's turns in the completion.
 
-Defined results: a null role or text counts as empty; turns are ordered by number, role and text, so that repeated rows stay as
+Defined results: a null role or text counts as empty, and a null side or a null turn as none; turns are ordered by number, role and text, so that repeated rows stay as
 repeated turns; rows without a conversation id belong to no conversation and are left out; a conversation without a reply of the
 assistant has equal sides and empty completions; an empty table gives an empty result; other columns are ignored. A conversation
 is one row of the result and is gathered as such; it is never gathered with others than its partner.
@@ -53,6 +53,13 @@ def common_turns(chosen: Column, rejected: Column) -> Column:
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Render ``chosen`` and ``rejected``, arrays of (role, text); other columns are passed on."""
     rest = [c for c in pairs.columns if c not in (chosen, rejected)]
+
+    def turns(side: str) -> Column:
+        given = F.filter(F.col(side), lambda t: t.isNotNull())
+        plain = F.transform(given, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+        return F.coalesce(plain, F.array().cast("array<struct<role:string,text:string>>"))
+
+    pairs = pairs.withColumns({chosen: turns(chosen), rejected: turns(rejected)})
     rows = pairs.select(*rest, F.col(chosen).alias("_c"), F.col(rejected).alias("_r"), common_turns(F.col(chosen), F.col(rejected)).alias("n_prompt_turns"))
     after = F.col("n_prompt_turns") + 1
     rows = rows.select(
@@ -71,6 +78,7 @@ def with_other_reply(conversations: DataFrame) -> DataFrame:
 
     Conversations 2k and 2k + 1 are partners. Where the partner has no reply, the rejected side lacks its last reply.
     """
+    conversations = conversations.withColumn("conv_id", F.col("conv_id").cast("long"))
     turn = F.struct("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     both = conversations.filter("conv_id is not null").groupBy(F.shiftright("conv_id", 1).alias("_pair")).agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
 
