@@ -35,7 +35,7 @@ from .common import Scratch, offsets_of, read_table, texts_of, tune
 from .shingles import PLACE, lowered, mix, word_hashes
 
 #: Bytes of text in a block, and for each bucket of counts.
-BLOCK, BUCKET = 4 << 20, 16 << 20
+BLOCK, BUCKET = 4 << 20, 12 << 20
 #: Pseudo-counts of the next lower model in contexts of one word, of two words and so on; one more than these is the order.
 STRENGTHS = (200.0, 20.0)
 FOLDS, HELD_OUT = 5, 1
