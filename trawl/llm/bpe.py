@@ -294,18 +294,15 @@ class Encoder:
         self.memo = Memo(self._learn, memo)
         self.split = StreamDecoder.split_tokens(self.transducer.bytes_of)
 
-    def _learn(self, chunks: list[str]) -> Iterator[tuple[tuple[int, ...], str]]:
-        encode, pieces = self.transducer.encode, self.pieces
-        for chunk in chunks:
-            ids = tuple(encode(chunk.encode()) if PLAIN(chunk) else chain.from_iterable(encode(p.encode()) for p in pieces(chunk)))
-            yield ids, ",".join(map(str, ids))
+    def _learn(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        encode = self.transducer.encode
+        ids = tuple(encode(chunk.encode()) if PLAIN(chunk) else chain.from_iterable(encode(p.encode()) for p in self.pieces(chunk)))
+        return ids, ",".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and the ids as decimal numbers joined by commas."""
-        split = [SPACED.findall(t) for t in texts]
-        get = self.memo.known(set().union(*split)).__getitem__
-        for chunks in split:
-            found = list(map(get, chunks))
+        for text in texts:
+            found = list(map(self.memo.lookup(), SPACED.findall(text)))
             yield list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
 
     def decoder(self) -> StreamDecoder:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +26,20 @@ WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
 MEMO = 800_000
 
 
+class _Young(dict):
+    """Keys learnt since the last change of generations; others come from the old ones or are learnt when they are asked for."""
+
+    def __init__(self, learn: Callable, old: dict):
+        self.learn, self.old = learn, old
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.learn(key)
+        self[key] = found
+        return found
+
+
 class Memo:
     """What has been learnt about frequent keys, in two generations: a full young one becomes the old one.
 
@@ -34,34 +48,28 @@ class Memo:
 
     in_use: Memo | None = None
 
-    def __init__(self, learn: Callable[[list], Iterable], limit: int):
+    def __init__(self, learn: Callable, limit: int):
         self.learn, self.limit = learn, limit // 2
-        self.young: dict = {}
-        self.old: dict = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.young = _Young(self.learn, {})
 
-    def known(self, wanted: set) -> dict:
-        """A table that holds all the keys wanted."""
+    def lookup(self) -> Callable:
+        """What is known of a key, or is learnt now; to be asked for again before the next texts."""
         if Memo.in_use is not self:
             release()
             Memo.in_use = self
         if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, missing = self.young, self.old, []
-        for key in wanted:
-            if key not in young:
-                found = old.get(key)
-                if found is None:
-                    missing.append(key)
-                else:
-                    young[key] = found
-        young.update(zip(missing, self.learn(missing), strict=True))
-        return young
+            self.young.old = {}
+            self.young = _Young(self.learn, dict(self.young))
+        return self.young.__getitem__
 
 
 def release() -> None:
     """Drop what a stage before has left in this worker's memo."""
     if Memo.in_use is not None:
-        Memo.in_use.young, Memo.in_use.old = {}, {}
+        Memo.in_use.forget()
         Memo.in_use = None
 
 
@@ -84,28 +92,21 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
         self.split = (SPACED if spaced else BARE).findall
-        self.memo = Memo(self._encode_chunks, memo)
+        self.memo = Memo(self._encode_chunk, memo)
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_chunks(self, missing: list[str]) -> list[bytes]:
-        tokenize, found, others = self.tokenizer.model.tokenize, {}, []
-        for x in missing:
-            if WORD(x):
-                word = (x if self.spaced else x.lower()).encode().decode("latin-1").translate(BYTE_LEVEL)
-                found[x] = array("I", [t.id for t in tokenize(word)]).tobytes()
-            else:
-                others.append(x)
-        for at in range(0, len(others), 4096):
-            found.update(zip(others[at : at + 4096], self._batch(others[at : at + 4096]), strict=True))
-        return [found[x] for x in missing]
+    def _encode_chunk(self, chunk: str) -> bytes:
+        if not WORD(chunk):
+            return self._batch([chunk])[0]
+        word = (chunk if self.spaced else chunk.lower()).encode().decode("latin-1").translate(BYTE_LEVEL)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [[] if "<|" in t else self.split(t) for t in texts]
-        get = self.memo.known(set().union(*split)).__getitem__
-        return [self._batch([text])[0] if "<|" in text else b"".join(map(get, chunks)) for text, chunks in zip(texts, split, strict=True)]
+        get = self.memo.lookup()
+        return [self._batch([text])[0] if "<|" in text else b"".join(map(get, self.split(text))) for text in texts]
 
 
 @lru_cache(maxsize=4)

@@ -16,7 +16,7 @@ _rng = np.random.default_rng(20240501)
 PLACE = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LENGTH = 0x9E3779B97F4A7C15
 
-_words = Memo(lambda missing: [xxhash.xxh3_64_digest(w) for w in missing], 250_000)
+_words = Memo(xxhash.xxh3_64_digest, 250_000)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,8 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    get = _words.known(set(words)).__getitem__
-    return np.frombuffer(b"".join(map(get, words)), dtype=">u8").astype(np.uint64)
+    return np.frombuffer(b"".join(map(_words.lookup(), words)), dtype=">u8").astype(np.uint64)
 
 
 def lowered(text: bytes) -> list[bytes]:
