@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import LETTERS, SPACED, Memo, in_slices
+from .chunks import LETTERS, SPACED, Memo, in_slices, lean
 from .common import read_table, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -333,7 +333,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,7 +348,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.start, len(ids)), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -364,7 +364,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
                 texts.append(None if ids is None else (decoder.feed(ids) + decoder.end()).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import lean
 from .common import Scratch, components, read_table, tune
 
 SIMILARITY = 0.9
@@ -269,7 +270,7 @@ def _linked(similarity: float, plans: dict[int, tuple[float, int, int, int]]):
 def near_duplicates(vectors: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    keyed = scratch.table(vectors.mapInArrow(_keys, "vec_id long, key binary, raw binary"), "keyed")
+    keyed = scratch.table(vectors.mapInArrow(lean(_keys), "vec_id long, key binary, raw binary"), "keyed")
     once = keyed.groupBy("key", "vec_id").agg(F.count("*").alias("rows"))
     odd = scratch.table(once.groupBy("vec_id").agg(F.count("*").alias("several")).filter("vec_id is null or several > 1").select("vec_id"), "odd")
     any_odd = not odd.isEmpty()
@@ -285,7 +286,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, similarity: float = SI
     plans = {r["dimension"]: plan(1 << math.ceil(math.log2(max(2, r["size"]))), similarity, r["dimension"]) for r in sizes}
     wide = any(many * directions**parts >= 1 << 31 for _, parts, directions, many in plans.values())
 
-    passing = reps.mapInArrow(_passing(plans, wide), f"vec_id long, many long, vector binary, dimension int, family long, filters array<{'bigint' if wide else 'int'}>")
+    passing = reps.mapInArrow(lean(_passing(plans, wide)), f"vec_id long, many long, vector binary, dimension int, family long, filters array<{'bigint' if wide else 'int'}>")
     passing = scratch.table(passing, "passing")
     crowds = passing.groupBy("dimension", "family").agg(F.count("*").alias("size")).filter("size > 1")
     crowds = crowds.select("dimension", "family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))

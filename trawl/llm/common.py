@@ -91,10 +91,6 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def gapless_rank(written: DataFrame, group: list[str], order: list[Column], out: str, part: str) -> DataFrame:
     """Number the rows of each group from 0 without gaps, though one group may hold most rows.
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chunks import lean
 from .common import read_table, texts_of, tune
 from .sampling import hashed_sample
 from .shingles import PLACE, WORDS_SQL, mix, word_hashes
@@ -194,7 +195,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, lines: int = LINES, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flat, pa.list_(pa.int8()))], ["doc_id", "chain"])
 
     wide = len(KINDS)
-    rows = hashed_sample(docs, sample, id_col, text_col).mapInArrow(extract, "doc_id long, chain array<byte>").withColumn("n", F.size("chain") / wide)
+    rows = hashed_sample(docs, sample, id_col, text_col).mapInArrow(lean(extract), "doc_id long, chain array<byte>").withColumn("n", F.size("chain") / wide)
     before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of at most `sample` rows
     chosen = sorted(tuple(r["chain"]) for r in rows.withColumn("upto", F.sum("n").over(before)).filter(F.col("upto") <= lines).collect())
     return fit([[row[i : i + wide] for i in range(0, len(row), wide)] for row in chosen])
@@ -247,7 +248,7 @@ def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in values[:5]), *(pa.array(v, pa.bool_()) for v in values[5:7]), pa.array(values[7], pa.float64())], ["doc_id", *COLUMNS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double")
 
 
 def keep(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -259,7 +260,7 @@ def keep(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([verdict(t, model)[6] for t in texts_of(batch.column(text_col))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 #: The base counts in SQL.

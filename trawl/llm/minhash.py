@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .chunks import lean
 from .common import BROADCAST_KEYS, Scratch, components, read_table, texts_of, tune
 from .shingles import LOWERED_SQL, WIDTH, mix, shingle_set
 
@@ -220,7 +221,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
     texts = _texts_of(ids, texts, scratch, name)
     both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     both = both.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    found = both.select("u", "v", F.encode("text_u", "UTF-8").alias("text_u"), F.encode("text_v", "UTF-8").alias("text_v")).mapInArrow(_verified, "u long, v long")
+    found = both.select("u", "v", F.encode("text_u", "UTF-8").alias("text_u"), F.encode("text_v", "UTF-8").alias("text_v")).mapInArrow(lean(_verified), "u long, v long")
     found = scratch.table(found, f"{name}-found")
     scratch.drop(f"{name}-ids", f"{name}-texts")
     return found
@@ -240,7 +241,7 @@ def with_set_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             keys = [set_key(t, i) for t, i in zip(texts_of(batch.column(text_col)), batch.column(id_col).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def _class_texts(docs: DataFrame, members: DataFrame, odd: DataFrame | None) -> DataFrame:
@@ -256,7 +257,7 @@ def _class_texts(docs: DataFrame, members: DataFrame, odd: DataFrame | None) ->
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; set_key tells equal sets, component_no equal components."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = scratch.table(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "prints")
+    prints = scratch.table(docs.mapInArrow(lean(_fingerprints), "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "prints")
     odd = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select("doc_id")
     odd = scratch.table(odd, "odd")  # documents without an id or in several rows; none in most tables
     odd = None if odd.isEmpty() else odd

@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import lean
 from .common import Scratch, offsets_of, read_table, texts_of, tune
 from .shingles import PLACE, lowered, mix, word_hashes
 
@@ -255,12 +256,12 @@ def score_documents(docs: DataFrame, scratch: Scratch, strengths: tuple[float, .
     """Scores of every document by n-grams of up to ``len(strengths) + 1`` words: the columns of the contract of ``op8``."""
     order = len(strengths) + 1
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bundles = scratch.table(docs.mapInArrow(_bundling(block), "block long, bytes long, training long, ids array<long>, lengths array<long>, tokens binary"), "blocks")
+    bundles = scratch.table(docs.mapInArrow(lean(_bundling(block)), "block long, bytes long, training long, ids array<long>, lengths array<long>, tokens binary"), "blocks")
     totals = bundles.agg(F.count("*"), F.sum("bytes"), F.sum("training"), F.max(F.shiftright("block", 32)) + 1, F.max(F.col("block").bitwiseAND(0xFFFFFFFF)) + 1)
     blocks, size, documents, tasks, most = (int(x or 0) for x in totals.first())
     buckets, tables = max(1, math.ceil(size / bucket)), []
     for first, last in [(1, min(2, order)), *((length, length) for length in range(3, order + 1))]:  # no more on the disks at once
-        asked = bundles.select("block", "ids", "lengths", "tokens").mapInArrow(_asking(buckets, first, last), "block long, length int, bucket int, payload binary")
+        asked = bundles.select("block", "ids", "lengths", "tokens").mapInArrow(lean(_asking(buckets, first, last)), "block long, length int, bucket int, payload binary")
         asked = asked.repartitionById(buckets, F.col("bucket"))
         found = asked.groupBy("length", "bucket").applyInArrow(_answer, "block long, length int, bucket int, payload binary, tokens long, known long")
         tables.append(scratch.table(found, f"answers-{first}"))

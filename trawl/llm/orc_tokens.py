@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import encoder, in_slices
+from .chunks import encoder, in_slices, lean
 from .common import Scratch, free_shuffles, offsets_of, read_table, tune
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,7 +65,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int = END_ID, partiti
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = sorted(set(rows.approxQuantile("doc_id", [i / partitions for i in range(1, partitions)], 0.1 / partitions))) if partitions > 1 else []  # reads ids alone
     rows = rows.repartitionById(partitions, _range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.mode("overwrite").options(**OPTIONS).orc(target)
+    rows.mapInArrow(lean(encode), SCHEMA).write.mode("overwrite").options(**OPTIONS).orc(target)
 
 
 def read(spark: SparkSession, target: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def digests(spark: SparkSession, target: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "local_start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "file", "local_start", "n_tokens", "ids_crc32"])
 
-    rows = read(spark, target).mapInArrow(sums, "doc_id long, file int, local_start long, n_tokens long, ids_crc32 long")
+    rows = read(spark, target).mapInArrow(lean(sums), "doc_id long, file int, local_start long, n_tokens long, ids_crc32 long")
     starts = F.broadcast(file_starts(spark, target))  # one row a file
     return rows.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 

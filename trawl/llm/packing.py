@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import encoder, in_slices
+from .chunks import encoder, in_slices, lean
 from .common import Scratch, gapless_rank, read_table, tune
 
 CAPACITY = 4096
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0])), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return rows.withColumn("part", F.spark_partition_id())
 
 
@@ -164,7 +164,7 @@ def pack(written: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = gapless_rank(written, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", "part")
-    return ranked.select(*columns, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*columns, "rank").mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, scratch: Scratch, path: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import release
+from .chunks import lean, release
 from .common import read_table, texts_of, tune
 from .sampling import hashed_sample
 
@@ -228,9 +228,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "code", "places", "values"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = texts.select("text").mapInArrow(patterns, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(lean(patterns), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     model = LabelModel({r["code"]: r["n"] for r in counted.collect()})  # at most 3 ** len(LABELLERS) rows
-    rows = hashed_sample(docs, sample, id_col, text_col).mapInArrow(extract, "doc_id long, code int, places array<int>, values array<double>").collect()
+    rows = hashed_sample(docs, sample, id_col, text_col).mapInArrow(lean(extract), "doc_id long, code int, places array<int>, values array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["code"], len(r["places"])))
     return model, fit_scorer([(r["places"], r["values"]) for r in rows], np.array([model.probability(r["code"]) for r in rows]))
 
@@ -245,7 +245,7 @@ def judge(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, id_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())], ["doc_id", "score", "kept"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, kept boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, score double, kept boolean")
 
 
 def keep(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -256,7 +256,7 @@ def keep(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) >= threshold for t in texts_of(batch.column(text_col))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
