@@ -223,3 +223,14 @@ def test_methods_side_by_side(docs):
     assert not bad.ok and "UNBALANCED" in bad.error
     assert methods.as_rows([bad])[0]["n_matches"] == 0
     assert "Filter" in methods.explain_stats(search.matches(docs, "hello [a-z]"))["nodes"]
+
+
+def test_limited_method_counts_all(spark):
+    from trawl.operators import methods
+
+    many = spark.range(methods.LIMIT + 76).select(F.col("id").alias("doc_id"), F.lit("hello world").alias("text"))
+    tables = methods.Tables(many, grams.postings(many))
+    result = methods.run_method(tables, "limited", "hello [a-z]+", keep=2 * methods.LIMIT)
+    assert (result.ok, result.n_matches) == (True, methods.LIMIT + 76)
+    assert result.ids == list(range(methods.LIMIT))
+    assert methods.compare(tables, "limited", [("hello [a-z]+", None)]).first()["micro"] == round(methods.LIMIT / (methods.LIMIT + 76), 6)
