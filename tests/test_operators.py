@@ -234,3 +234,19 @@ def test_limited_method_counts_all(spark):
     assert (result.ok, result.n_matches) == (True, methods.LIMIT + 76)
     assert result.ids == list(range(methods.LIMIT))
     assert methods.compare(tables, "limited", [("hello [a-z]+", None)]).first()["micro"] == round(methods.LIMIT / (methods.LIMIT + 76), 6)
+
+
+def test_next_ids_in_one_pass_over_even_ranges(spark):
+    far = 2**60
+    many = spark.range(0, 4000, 2).union(spark.createDataFrame([(far,), (far,), (None,)], "id long")).withColumnRenamed("id", "doc_id")
+    probes = spark.range(-1, 4001).union(spark.createDataFrame([(far,), (far + 1,), (None,), (None,)], "id long")).withColumnRenamed("id", "probe")
+    df = sampling.next_ids(many, probes)
+    rows = df.collect()
+    assert {r["probe"]: r["id"] for r in rows} == {p: p + p % 2 if p < 3999 else far for p in range(-1, 4001)} | {far: far, far + 1: None, None: None}
+    assert len(rows) == 4005
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan  # a frame that only shrinks is added up anew for each row
+    sizes = [r["count"] for r in sampling._in_ranges(many.select(F.col("doc_id").alias("at")), F.lit([i * 15 for i in range(1, sampling.RANGES)])).groupBy("slot").count().collect()]
+    assert len(sizes) == sampling.RANGES + 1 and sum(sizes) == 2003
+    nothing = sampling.next_ids(many.limit(0), probes.filter("probe is null or probe < 2"))
+    assert sorted(nothing.collect(), key=lambda r: r["probe"] if r["probe"] is not None else 9) == [(-1, None), (0, None), (1, None), (None, None)]

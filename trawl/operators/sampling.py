@@ -7,6 +7,9 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Ranges of ids and probes that are looked through apart, a power of two.
+RANGES = 256
+
 
 def exact_sample(df: DataFrame, k: int, seed: int = 42, key: Column | None = None) -> DataFrame:
     """k random rows; with ``key``, those with the smallest values, which repeats on any engine."""
@@ -28,28 +31,36 @@ def id_bounds(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.agg(F.min(id_col).alias("min_id"), F.max(id_col).alias("max_id"))
 
 
+def _in_ranges(df: DataFrame, bounds: Column) -> DataFrame:
+    """With ``slot``, the number of the array's bounds that are not above ``at``, found by bisection; -1 for null.
+
+    It is never null, as the optimiser would else test that before a join, on all steps put into one expression.
+    """
+    df = df.withColumn("slot", F.when(F.col("at").isNotNull(), 0))
+    step = RANGES // 2
+    while step:
+        df = df.withColumn("slot", F.col("slot") + F.when(F.col("at") >= F.get(bounds, F.col("slot") + (step - 1)), step).otherwise(0))
+        step //= 2
+    return df.withColumn("slot", F.coalesce("slot", F.lit(-1)))
+
+
 def next_ids(df: DataFrame, probes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """For each probe the smallest id that is not below it; null after the last.
+    """For each distinct probe the smallest id that is not below it; null after the last, and for null.
 
-    Probes are cut into ranges by the ids' own range so that each range is one window; the next range's first id fills its end.
+    Ids and probes are cut into ranges that hold about as many of both, wherever they lie. Each range is one window, which runs from
+    its end backwards so that a row is added once to what is behind it; the next range's first id fills its end.
     """
-    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
-    ids = df.select(F.col(id_col).alias("id"))
-    if low is None:
-        return probes.select("probe", F.lit(None).cast("long").alias("id"))
-    width = max(1, (high - low + 256) // 256)
-    slot = lambda c: F.greatest(F.lit(-1), F.floor((F.col(c) - F.lit(low)) / F.lit(width))).cast("long")
-    ids = ids.withColumn("slot", slot("id"))
-    firsts = ids.groupBy("slot").agg(F.min("id").alias("first"))  # at most 257 rows
-    after = Window.orderBy("s")
-    slots = probes.sparkSession.range(-1, 258).select(F.col("id").alias("s"))
-    ends = slots.join(firsts.withColumnRenamed("slot", "s"), "s", "left")
-    ends = ends.select(F.col("s").alias("slot"), F.min("first").over(after.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    asked = probes.select("probe").distinct().withColumn("slot", F.least(F.lit(257), slot("probe")))
-    rows = asked.select("slot", F.col("probe").alias("at"), F.lit(None).cast("long").alias("id")).unionByName(ids.select("slot", F.col("id").alias("at"), "id"))
-    onward = Window.partitionBy("slot").orderBy("at", F.col("id").isNull().desc()).rowsBetween(0, Window.unboundedFollowing)
-    found = rows.withColumn("next", F.min("id").over(onward)).filter("id is null").join(F.broadcast(ends), "slot")
-    return found.select(F.col("at").alias("probe"), F.coalesce("next", "later").alias("id"))
+    ids = df.select(F.col(id_col).alias("at")).filter("at is not null")
+    rows = ids.withColumn("held", F.lit(True)).unionByName(probes.select(F.col("probe").alias("at"), F.lit(False).alias("held")))
+    bounds = F.lit(rows.agg(F.percentile_approx("at", [i / RANGES for i in range(1, RANGES)])).first()[0] or [])
+    firsts = _in_ranges(ids, bounds).groupBy("slot").agg(F.min("at").alias("first"))  # at most RANGES rows
+    ends = probes.sparkSession.range(RANGES).select(F.col("id").alias("slot")).join(firsts, "slot", "left")
+    after = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("slot", F.min("first").over(after).alias("later"))
+    values = rows.groupBy("at").agg(F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("asked"))
+    onward = Window.partitionBy("slot").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    found = _in_ranges(values, bounds).withColumn("next", F.min(F.when(F.col("held"), F.col("at"))).over(onward)).filter("asked")
+    return found.join(F.broadcast(ends), "slot", "left").select(F.col("at").alias("probe"), F.coalesce("next", "later", F.lit(None).cast("long")).alias("id"))
 
 
 def jump_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id", attempts: int = 5, key: Column | None = None) -> DataFrame:
