@@ -1,6 +1,7 @@
 """Near-duplicate documents and vectors against all pairs."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -47,6 +48,31 @@ def test_blocks_change_nothing(docs, scratch, texts, monkeypatch):
     assert found == near_duplicates(texts)
 
 
+def test_small_tables_are_few_files(spark, scratch, docs, texts, monkeypatch):
+    """However many partitions a shuffle has: each file of a local folder makes an executor start processes."""
+    write, files = common.Scratch.table, {}
+
+    def counted(self, df, name, *args):
+        table = write(self, df, name, *args)
+        files[name] = len(list(Path(self.path(name).removeprefix("file://")).glob("*.parquet")))
+        return table
+
+    monkeypatch.setattr(common.Scratch, "table", counted)
+    cores = spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 3 * cores)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        kept = {r["doc_id"] for r in minhash.survivors(docs, scratch).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == {k for k, (_, _, keep) in near_duplicates(texts).items() if keep}
+    del files["found"]  # what is returned, written by as many tasks as compute it
+    assert {"members", "crowded", "star", "near-found", "component-0", "across", "dropped"} <= files.keys()
+    assert {k: n for k, n in files.items() if n > cores} == {}
+
+
 def test_families_find_links_that_no_hub_has(spark, scratch):
     """A chain of texts, each similar to the next but not to the one after."""
     words = [f"w{i}" for i in range(400)]

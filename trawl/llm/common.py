@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 32 << 20
 #: Keys that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Rows of a few numbers in one file of a table whose size is known.
+FILE_ROWS = 250_000
 #: Spark's own setting: remove an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -47,8 +50,17 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it again; the plan behind it ends here."""
+    def files(self, rows: int, each: int = FILE_ROWS) -> int:
+        """Files for so many rows, one for each core at least.
+
+        Hadoop starts three processes for each file in a local folder (chmod of folder, file and checksums), and each shares all
+        memory of its executor until it runs, so that for a moment the executor's memory is seen twice.
+        """
+        return max(self.spark.sparkContext.defaultParallelism, math.ceil(rows / each))
+
+    def table(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Write ``df``, by at most ``files`` tasks, and read it again; the plan behind it ends here."""
+        df = df if files is None else df.coalesce(files)
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
@@ -105,25 +117,28 @@ def gapless_rank(written: DataFrame, group: list[str], order: list[Column], out:
     return ranked.join(base, [*group, part]).withColumn(out, (F.col("_rank") + F.col("_base")).cast("long")).drop("_rank", "_base")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components of ``edges(u, v)`` as a written table ``(node, component)``, the component being its smallest node.
 
     Alternates large-star and small-star steps: each hangs a node's neighbours onto the smallest of them, with a minimum per
     node (combined before the shuffle) and a join. The minima are broadcast while there are few edges; beyond that they are
     written, so that both sides of the join are plain shuffles, which Spark splits where one node has most edges. Every step is
-    written, and only counts reach the driver.
+    written, and only counts reach the driver. ``rows``, about the number of edges, keeps small tables in few files.
     """
     def signature(table: DataFrame) -> tuple:
         hashed = F.xxhash64("u", "v")  # two sums over all 64 bits
         return tuple(table.agg(F.count("*"), F.sum(hashed.cast("decimal(20,0)")), F.bit_xor(hashed)).first())
 
-    def hung(rows: DataFrame, lowest: DataFrame, at: str) -> DataFrame:
+    def hung(held: DataFrame, lowest: DataFrame, at: str) -> DataFrame:
         if 2 * seen[0] <= BROADCAST_KEYS:
-            return rows.join(F.broadcast(lowest), "u")
-        return rows.join(scratch.table(lowest, f"{name}-{at}"), "u")
+            return held.join(F.broadcast(lowest), "u")
+        return held.join(scratch.table(lowest, f"{name}-{at}", files()), "u")
+
+    def files() -> int | None:
+        return None if rows is None else scratch.files(2 * seen[0])
 
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    table, last = scratch.table(edges, f"{name}-0"), f"{name}-0"
+    table, last = scratch.table(edges, f"{name}-0", None if rows is None else scratch.files(rows)), f"{name}-0"
     seen = signature(table)
     for step in range(1, limit + 1):
         both = table.unionByName(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -132,7 +147,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
         large = hung(larger, lowest, "large").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = hung(large, lowest, "small").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        table = scratch.table(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
+        table = scratch.table(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}", files())
         scratch.drop(last)
         last, now = f"{name}-{step}", signature(table)
         if now == seen:
@@ -142,7 +157,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, limit: int = 60) -
         raise RuntimeError(f"components did not settle in {limit} steps")
     scratch.drop(f"{name}-large", f"{name}-small")
     roots = table.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    settled = scratch.table(table.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), name)
+    settled = scratch.table(table.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), name, files())
     scratch.drop(last)
     return settled
 

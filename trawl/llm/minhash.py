@@ -37,6 +37,8 @@ SAMPLES = 2 * BANDS * ROWS
 BITS = 2048
 #: Members of a bucket or family in one block at least and at most, blocks in between, and bytes of a family's texts in a block.
 LEAST_BLOCK, BLOCK, BLOCKS, BLOCK_BYTES = 256, 2048, 8, 4 << 20
+#: Rows with bands and sketch, or that join two sketches, in one file.
+SKETCH_ROWS = 16_000
 #: Tasks to which a shuffle deals the rows of a key where its other side has too many keys for a broadcast.
 DEALT = 64
 
@@ -187,9 +189,9 @@ def _within(cutoff: int):
     return links
 
 
-def _with(rows: DataFrame, small: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+def _with(rows: DataFrame, small: DataFrame, key: str, scratch: Scratch, name: str, files: int) -> DataFrame:
     """Rows joined with a table of one row a key: broadcast if it is small enough, else dealt so that no key is one task."""
-    small = scratch.table(small, name)
+    small = scratch.table(small, name, files)
     if small.count() <= BROADCAST_KEYS:
         return rows.join(F.broadcast(small), key)
     repeated = small.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
@@ -208,21 +210,21 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _texts_of(ids: DataFrame, texts: DataFrame, scratch: Scratch, name: str, files: int) -> DataFrame:
     """Texts of the classes in ``ids(doc_id)``, by a broadcast of the ids where they are few enough."""
-    ids = scratch.table(ids.distinct(), f"{name}-ids")
+    ids = scratch.table(ids.distinct(), f"{name}-ids", files)
     found = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "doc_id", "left_semi")
     return scratch.table(found, f"{name}-texts")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Enough of the written ``pairs(u, v)`` with similar texts to link all that such pairs link."""
+def _confirm(pairs: DataFrame, number: int, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Enough of the written ``number`` of ``pairs(u, v)`` with similar texts to link all that such pairs link."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id")))
-    texts = _texts_of(ids, texts, scratch, name)
+    texts = _texts_of(ids, texts, scratch, name, scratch.files(2 * number))
     both = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     both = both.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     found = both.select("u", "v", F.encode("text_u", "UTF-8").alias("text_u"), F.encode("text_v", "UTF-8").alias("text_v")).mapInArrow(lean(_verified), "u long, v long")
-    found = scratch.table(found, f"{name}-found")
+    found = scratch.table(found.repartition(scratch.files(number)), f"{name}-found")
     scratch.drop(f"{name}-ids", f"{name}-texts")
     return found
 
@@ -259,7 +261,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = scratch.table(docs.mapInArrow(lean(_fingerprints), "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"), "prints")
     odd = prints.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select("doc_id")
-    odd = scratch.table(odd, "odd")  # documents without an id or in several rows; none in most tables
+    rows = prints.count()
+    odd = scratch.table(odd, "odd", scratch.files(rows))  # documents without an id or in several rows; none in most tables
     odd = None if odd.isEmpty() else odd
     classes = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     by_set = F.lit(False)
@@ -267,12 +270,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         classes = classes.join(odd.select(F.col("doc_id").alias("rep"), F.lit(True).alias("odd")), "rep", "left")
         by_set = F.coalesce("odd", F.col("rep").isNull())
     number = F.when(by_set, F.xxhash64("key")).otherwise(F.col("rep"))
-    members = scratch.table(classes.select(number.alias("doc_id"), "key", "rep", by_set.alias("by_set"), "n", "bands", "sketch"), "members")
+    members = scratch.table(classes.select(number.alias("doc_id"), "key", "rep", by_set.alias("by_set"), "n", "bands", "sketch"), "members", scratch.files(rows, SKETCH_ROWS))
     texts = _class_texts(docs, members, odd)
 
     buckets = members.select("doc_id", "n", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.min_by("n", "doc_id").alias("n_u"), F.count("*").alias("size")).filter("size > 1")
-    crowded = scratch.table(buckets.join(hubs, "bucket"), "crowded")  # most documents share no bucket
+    crowded = scratch.table(buckets.join(hubs, "bucket"), "crowded", scratch.files(BANDS * rows))  # most documents share no bucket
+    shared = crowded.count()
     star = crowded.filter((F.col("doc_id") != F.col("u")) & (100 * F.least("n", "n_u") >= SIMILARITY * F.greatest("n", "n_u")))
     star = star.select("u", F.col("doc_id").alias("v")).distinct()
     sketches = members.select("doc_id", "n", "sketch")
@@ -280,30 +284,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     star = star.join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sketch_v")), "v")
     star = star.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("sketch_u")), "u")
     differing = sum((F.bit_count(F.col("sketch_u")[i].bitwiseXOR(F.col("sketch_v")[i])) for i in range(BITS // 64)), F.lit(0))
-    star = scratch.table(star.filter(differing <= cutoff).select("u", "v"), "star")
-    edges = _confirm(star, texts, scratch, "near")
+    star = scratch.table(star.filter(differing <= cutoff).select("u", "v"), "star", scratch.files(shared, SKETCH_ROWS))
+    pairs = star.count()
+    edges = _confirm(star, pairs, texts, scratch, "near")
     if odd is not None:  # the texts of one document
-        rows = prints.join(odd, "doc_id", "left_semi").select("doc_id", "key").distinct().join(members.select("key", F.col("doc_id").alias("v")), "key")
-        edges = edges.unionByName(rows.join(rows.groupBy("doc_id").agg(F.min("v").alias("u")), "doc_id").select("u", "v"))
-    found = components(edges, scratch, "component")
+        held = prints.join(odd, "doc_id", "left_semi").select("doc_id", "key").distinct().join(members.select("key", F.col("doc_id").alias("v")), "key")
+        edges = edges.unionByName(held.join(held.groupBy("doc_id").agg(F.min("v").alias("u")), "doc_id").select("u", "v"))
+        pairs += rows  # at most
+    found = components(edges, scratch, "component", rows=pairs)
 
     placed = crowded.filter("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = scratch.table(placed.select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    placed = scratch.table(placed.select("bucket", "size", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed", scratch.files(shared))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    rows = _with(placed, mixed, "bucket", scratch, "mixed").withColumn("blocks", _blocks(F.col("size"))).drop("size")
-    rows = _in_blocks(rows).join(sketches, "doc_id")
-    across = rows.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long")
-    across = scratch.table(across, "across")
-    if not across.isEmpty():
-        families = components(across, scratch, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-        shown = _texts_of(families.select("doc_id"), texts, scratch, "family")
+    held = _with(placed, mixed, "bucket", scratch, "mixed", scratch.files(shared)).withColumn("blocks", _blocks(F.col("size"))).drop("size")
+    held = _in_blocks(held).join(sketches, "doc_id")
+    across = held.groupBy("bucket", "low", "high").applyInArrow(_across(cutoff), "u long, v long")
+    across = scratch.table(across.repartition(scratch.files(shared)), "across")
+    if chained := across.count():
+        few = scratch.files(2 * chained)
+        families = components(across, scratch, "families", rows=chained).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        shown = _texts_of(families.select("doc_id"), texts, scratch, "family", few)
         placed = families.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         placed = placed.join(sketches, "doc_id").join(shown, "doc_id")
         blocks = F.greatest(_blocks(F.count("*")), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int")
-        rows = _in_blocks(_with(placed, placed.groupBy("family").agg(blocks.alias("blocks")), "family", scratch, "family-blocks"))
-        within = scratch.table(rows.groupBy("family", "low", "high").applyInArrow(_within(cutoff), "u long, v long"), "within")
+        held = _in_blocks(_with(placed, placed.groupBy("family").agg(blocks.alias("blocks")), "family", scratch, "family-blocks", few))
+        within = held.groupBy("family", "low", "high").applyInArrow(_within(cutoff), "u long, v long")
+        within = scratch.table(within.repartition(few), "within")
         edges = edges.unionByName(within)
-        found = components(edges, scratch, "component-2")
+        found = components(edges, scratch, "component-2", rows=pairs + chained)
         scratch.drop("families", "family-ids", "family-texts", "family-blocks", "within", "component")
     scratch.drop("crowded", "placed", "mixed", "star", "near-found", "across")
 
@@ -327,11 +335,12 @@ def survivors(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     stays. Where no row has an id, the first by text stays. Rows without id and words all stay.
     """
     found = scratch.table(near_duplicates(docs, scratch, id_col, text_col), "found")
-    dropped = scratch.table(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    files = scratch.files(found.count())
+    dropped = scratch.table(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped", files)
     few = dropped.count() <= BROADCAST_KEYS
     identity = F.col(id_col).cast("long") == F.col("_id")
     rows = docs.join(F.broadcast(dropped) if few else dropped, identity, "left_anti")
-    odd = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("_id")), "several")
+    odd = scratch.table(found.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1").select(F.col("doc_id").alias("_id")), "several", files)
     if odd.isEmpty():
         return rows
     order = [F.col(text_col), F.xxhash64(*docs.columns)]
