@@ -27,6 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_for(spark: SparkSession, rows: int, each: int = FILE_ROWS) -> int:
+    """Files for so many rows, one for each core at least.
+
+    Hadoop starts three processes for each file in a local folder (chmod of folder, file and checksums), and each shares all
+    memory of its executor until it runs, so that for a moment the executor's memory is seen twice.
+    """
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / each))
+
+
 class Scratch:
     """Tables written to the folder that all executors share, so that a lost executor costs no lineage.
 
@@ -51,12 +60,7 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def files(self, rows: int, each: int = FILE_ROWS) -> int:
-        """Files for so many rows, one for each core at least.
-
-        Hadoop starts three processes for each file in a local folder (chmod of folder, file and checksums), and each shares all
-        memory of its executor until it runs, so that for a moment the executor's memory is seen twice.
-        """
-        return max(self.spark.sparkContext.defaultParallelism, math.ceil(rows / each))
+        return files_for(self.spark, rows, each)
 
     def table(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         """Write ``df``, by at most ``files`` tasks, and read it again; the plan behind it ends here."""

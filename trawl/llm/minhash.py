@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     result = prints.select("doc_id", "n_shingles", "key").join(classes, "key")
     component = F.coalesce("first", "rep")
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    result = result.coalesce(scratch.files(rows))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("key").alias("set_key"), F.coalesce("component", "number").alias("component_no"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import encoder, in_slices, lean
-from .common import Scratch, gapless_rank, read_table, tune
+from .common import Scratch, files_for, gapless_rank, read_table, tune
 
 CAPACITY = 4096
 END_ID = 1
@@ -164,6 +164,7 @@ def pack(written: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = gapless_rank(written, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", "part")
+    ranked = ranked.coalesce(files_for(written.sparkSession, sum(histogram.values())))
     return ranked.select(*columns, "rank").mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
